@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatemeter.llm import bestfit, packing, quality
+from gatemeter.llm import bestfit, chat, packing, quality
 from gatemeter.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,3 +20,5 @@ def _over(name: str, function: Callable[[DataFrame], DataFrame], source: str = "
 _over("op6_repetition_coverage", quality.query)
 _over("op2_best_fit_matrices", bestfit.pack_matrices)
 _over("op10_cost_balanced_packing", packing.pack_documents)
+_over("op1_prefix_targets", chat.query, "conversations")
+ORACLES["op1_prefix_targets"] = chat.ORACLE
