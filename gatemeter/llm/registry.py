@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatemeter.llm import bestfit, chat, packing, quality, simhash
+from gatemeter.llm import bestfit, chat, neardup, packing, quality, simhash
 from gatemeter.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,5 @@ _over("op10_cost_balanced_packing", packing.pack_documents)
 _over("op1_prefix_targets", chat.query, "conversations")
 ORACLES["op1_prefix_targets"] = chat.ORACLE
 _over("op3_simhash", simhash.query)
+_over("op4_minhash_neardup", neardup.query)
+ORACLES["op4_minhash_neardup"] = neardup.ORACLE
