@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatemeter.llm import bestfit, chat, neardup, packing, quality, simhash
+from gatemeter.llm import bestfit, chat, licences, neardup, packing, quality, secrets, simhash
 from gatemeter.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,6 @@ ORACLES["op1_prefix_targets"] = chat.ORACLE
 _over("op3_simhash", simhash.query)
 _over("op4_minhash_neardup", neardup.query)
 ORACLES["op4_minhash_neardup"] = neardup.ORACLE
+_over("op9_licence_digests", licences.query)
+ORACLES["op9_licence_digests"] = licences.ORACLE
+_over("op7_secret_crf", secrets.query)
