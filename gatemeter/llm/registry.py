@@ -17,6 +17,12 @@ def _over(name: str, function: Callable[[DataFrame], DataFrame], source: str = "
     QUERIES[name] = lambda spark, sf_dir: function(table(spark, sf_dir, source))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _over("op6_repetition_coverage", quality.query)
 _over("op2_best_fit_matrices", bestfit.pack_matrices)
 _over("op10_cost_balanced_packing", packing.pack_documents)
@@ -29,3 +35,4 @@ _over("op9_licence_digests", licences.query)
 ORACLES["op9_licence_digests"] = licences.ORACLE
 _over("op7_secret_crf", secrets.query)
 _over("op8_sentencepiece", pieces.query)
+QUERIES["pipeline"] = _pipeline
