@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatemeter.llm import bestfit, chat, licences, neardup, packing, pieces, quality, secrets, simhash
+from gatemeter.llm import bestfit, chat, licences, neardup, packing, pages, pieces, quality, secrets, simhash
 from gatemeter.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,4 @@ ORACLES["op9_licence_digests"] = licences.ORACLE
 _over("op7_secret_crf", secrets.query)
 _over("op8_sentencepiece", pieces.query)
 QUERIES["pipeline"] = _pipeline
+_over("op5_wrapper_extraction", pages.query, "pages")
