@@ -11,11 +11,13 @@ with probability 0.655, so a pair is missed with probability 3e-6.)
 Classes that share a key are candidates; no group's pairs are enumerated. First each class
 is compared with one pivot, the least class that it shares a key with; what passes is
 linked and components are built. Only keys that still hold several components go on: each
-of their classes is compared with a pivot of the key, and in the end the classes of
-different components that share a key are compared pair by pair, if their sizes allow the
-similarity and their signatures differ in 30 values at most (4.6 standard deviations above
-the mean at 0.8). Every link is confirmed on the full sets. Components don't change by
-links inside them, so none that matters is lost.
+of their classes is compared with a pivot of the key. In the end the classes of different
+components that share a key are compared pair by pair, each pair under one of its keys, if
+their sizes allow the similarity and wide signatures of 3072 one-bit minima, made for these
+classes alone, are near enough (4.5 standard deviations above the mean at 0.8); pivots are
+compared where the first signatures differ in 30 values at most (4.6).
+Every link is confirmed on the full sets. Components don't change by links inside them, so
+none that matters is lost.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower
 case; with fewer words than a shingle the whole sequence is one shingle; null or blank
@@ -46,9 +48,17 @@ class NearRules:
     chunks: int = 12
     chunk_values: int = 6
     max_distance: int = 30
+    #: one-bit minima of the wide signature that is made where many classes remain
+    wide_bits: int = 3072
     #: ids that may be broadcast to pick texts; more are joined by shuffle
     broadcast_ids: int = 500_000
 
+    @property
+    def max_wide_distance(self) -> int:
+        """Differing bits of the wide signature: 4.5 standard deviations above the mean at the similarity."""
+        p = (100 - self.percent) / 200
+        return int(self.wide_bits * p + 4.5 * (self.wide_bits * p * (1 - p)) ** 0.5)
+
     @property
     def values(self) -> int:
         return self.chunks * self.chunk_values
@@ -56,8 +66,8 @@ class NearRules:
 
 DEFAULT = NearRules()
 _rng = np.random.Generator(np.random.PCG64(977))
-_MULTIPLY = _rng.integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, 512, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +103,15 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, values: int) -> np.ndarra
     return out
 
 
+def wide_signatures(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """One row of packed one-bit minima for each set; no set is empty."""
+    at = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    out = np.zeros((len(counts), bits), np.uint8)
+    for k in range(bits):
+        out[:, k] = mix(np.minimum.reduceat(hashes * _MULTIPLY[k] + _ADD[k], at)) & np.uint64(1)
+    return np.packbits(out, axis=1)
+
+
 def chunk_keys(sig: np.ndarray, rules: NearRules) -> np.ndarray:
     """For each signature, the keys of its chunks with one value left out each."""
     n, r = len(sig), rules.chunk_values
@@ -106,10 +125,20 @@ def chunk_keys(sig: np.ndarray, rules: NearRules) -> np.ndarray:
     return (keys * np.uint64(512) + place).reshape(n, rules.values).astype(np.int64)
 
 
+def chunk_longs(sig: np.ndarray, rules: NearRules) -> np.ndarray:
+    """The chunks of each signature as longs, the first value in the lowest byte."""
+    wide = sig.reshape(len(sig), rules.chunks, rules.chunk_values).astype(np.int64)
+    return (wide << (8 * np.arange(rules.chunk_values))).sum(2)
+
+
+def chunk_values(longs: np.ndarray, rules: NearRules) -> np.ndarray:
+    return ((longs.reshape(-1, rules.chunks, 1) >> (8 * np.arange(rules.chunk_values))) & 255).astype(np.uint8).reshape(-1, rules.values)
+
+
 def _described(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, set_key (16 bytes) and the signature as longs, of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    longs = rules.values // 8
+    longs = rules.chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +149,7 @@ def _described(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) ->
                 sig[counts > 0] = signatures(hashes, counts, rules.values)
                 ends = np.cumsum(counts)
                 keys = [hashlib.blake2b(hashes[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(ends, counts, strict=True)]
-                flat = pa.array(np.ascontiguousarray(sig).view(np.int64).reshape(-1))
+                flat = pa.array(chunk_longs(sig, rules).reshape(-1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(counts), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * longs + 1, longs, dtype=np.int32)), flat)],
                     names=["doc_id", "n_shingles", "set_key", "sig"],
@@ -137,23 +166,31 @@ def _keyed(classes: DataFrame, rules: NearRules) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                flat = part.column(1).flatten().to_numpy().view(np.uint8).reshape(part.num_rows, rules.values)
-                keys = chunk_keys(flat, rules)
+                keys = chunk_keys(chunk_values(part.column(1).flatten().to_numpy(), rules), rules)
                 reps = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), rules.values)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), reps], names=["key", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(run, f"key bigint, rep {kind}")
 
 
+def _unequal(a: str, b: str, chunk: int) -> str:
+    """SQL for the high bits of the values of one chunk that differ."""
+    x = f"({a}[{chunk}] ^ {b}[{chunk}])"
+    return f"((({x} & 140185576636287L) + 140185576636287L | {x}) & 141289400074368L)"  # 7f and 80 in six bytes
+
+
 def distance(a: str, b: str, rules: NearRules) -> Column:
     """In how many values two signatures differ."""
-    parts = []
-    for k in range(rules.values // 8):
-        x = f"({a}[{k}] ^ {b}[{k}])"
-        for by in (4, 2, 1):  # the lowest bit of each byte becomes the union of its bits
-            x = f"({x} | shiftrightunsigned({x}, {by}))"
-        parts.append(f"bit_count({x} & 72340172838076673L)")
-    return F.expr(" + ".join(parts))
+    return F.expr(" + ".join(f"bit_count({_unequal(a, b, k)})" for k in range(rules.chunks)))
+
+
+def first_place(a: str, b: str, rules: NearRules) -> Column:
+    """The one place whose key stands for a pair: its first chunk with an error at most."""
+    cases = []
+    for k in range(rules.chunks):
+        u = _unequal(a, b, k)
+        cases.append(f"WHEN bit_count({u}) <= 1 THEN {k * rules.chunk_values} + if({u} = 0, 0, (bit_count({u} - 1) - 7) div 8)")
+    return F.expr("CASE " + " ".join(cases) + " END")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, how_many: int, rules: NearRules, id_col: str, text_col: str) -> DataFrame:
@@ -170,7 +207,7 @@ def _sets(docs: DataFrame, ids: DataFrame, how_many: int, rules: NearRules, id_c
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([hashes[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], names=["rep", "members"])
 
-    return own.mapInArrow(run, f"rep {kind}, members binary")
+    return own.mapInArrow(run, f"rep {kind}, members binary").where("octet_length(members) > 0")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
@@ -197,6 +234,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame
     return met.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _widened(left: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
+    """(rep, n, wide): sizes and wide signatures of the classes in `left`."""
+    kind, longs = left.schema["rep"].dataType.simpleString(), rules.wide_bits // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                members = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+                sizes = np.array([len(x) for x in members])
+                flat = np.ascontiguousarray(wide_signatures(np.concatenate(members), sizes, rules.wide_bits)).view(np.int64).reshape(-1)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(members) * longs + 1, longs, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), rows], names=["rep", "n", "wide"])
+
+    return sets.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "members").mapInArrow(run, f"rep {kind}, n bigint, wide array<bigint>")
+
+
 def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable), kept, class_id, for every row."""
     scratch = Scratch(docs.sparkSession)
@@ -236,12 +290,13 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
             of_pivot = left.select(F.col("rep").alias("pivot"), F.col("label").alias("pivot_label")).distinct()
             new = left.select("rep", "label", "pivot").distinct().join(of_pivot, "pivot").where("label <> pivot_label").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
         else:
-            info = left.select("key", "rep", "label").join(light, "rep")
-            one = info.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-            two = info.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-            one, two = scratch.cut(one), scratch.cut(two)
-            apart = (F.col("la") < F.col("lb")) & _sizes(rules) & (distance("sa", "sb", rules) <= rules.max_distance)
-            new = one.join(two, (one["key"] == two["key"]) & apart).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            wide = scratch.cut(_widened(left, sets, rules))
+            info = scratch.cut(left.select("key", "rep", "label").join(light.select("rep", "sig"), "rep").join(wide, "rep"))
+            one = info.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("wide").alias("wa"))
+            two = info.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("wide").alias("wb"))
+            once = F.col("key") % 512 == first_place("sa", "sb", rules)
+            near = F.expr(" + ".join(f"bit_count(wa[{k}] ^ wb[{k}])" for k in range(rules.wide_bits // 64)) + f" <= {rules.max_wide_distance}")
+            new = one.join(two, (F.col("key") == F.col("key2")) & (F.col("la") < F.col("lb")) & _sizes(rules) & once & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = scratch.cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = scratch.cut(tried.unionByName(fresh))
         found = scratch.cut(_confirmed(fresh if last else close(fresh), sets, rules))

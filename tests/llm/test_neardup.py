@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gatemeter.llm.components import components
-from gatemeter.llm.neardup import NearRules, chunk_keys, dedup, distance, linked, shingle_sets, signatures
+from gatemeter.llm.neardup import NearRules, chunk_keys, chunk_longs, chunk_values, dedup, distance, first_place, linked, shingle_sets, signatures
 from gatemeter.llm.shared import Scratch
 
 DDL = "doc_id bigint, text string"
@@ -95,8 +95,12 @@ def test_every_pair_under_the_distance_shares_a_key(spark):
         b[i, at] ^= r.integers(1, 256, bound, dtype=np.uint8)
     p, q = chunk_keys(a, rules), chunk_keys(b, rules)
     assert all(set(x) & set(y) for x, y in zip(p.tolist(), q.tolist(), strict=True))
-    pairs = spark.createDataFrame([(x.view(np.int64).tolist(), y.view(np.int64).tolist()) for x, y in zip(a[:20], b[:20], strict=True)], "x array<bigint>, y array<bigint>")
-    assert {x[0] for x in pairs.select(distance("x", "y", rules)).collect()} == {bound}
+    assert (chunk_values(chunk_longs(a, rules), rules) == a).all()
+    pairs = spark.createDataFrame([(x, y) for x, y in zip(chunk_longs(a, rules).tolist(), chunk_longs(b, rules).tolist(), strict=True)], "x array<bigint>, y array<bigint>")
+    got = pairs.select(distance("x", "y", rules).alias("d"), first_place("x", "y", rules).alias("p")).collect()
+    assert {r["d"] for r in got} == {bound}
+    for r, x, y in zip(got, p.tolist(), q.tolist(), strict=True):
+        assert x[r["p"]] == y[r["p"]]
 
 
 def test_signatures_estimate_similarity():
