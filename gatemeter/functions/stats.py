@@ -97,25 +97,27 @@ def bound_within(threshold: float):
     return decide
 
 
-def log_gamma_free_u95(n: Column, k: Column, steps: int = 40) -> Column:
-    """The same bound by higher-order functions alone, for small k: bisection on the exact sum.
+def log_gamma_free_u95(n: Column, k: Column, steps: int = 50) -> Column:
+    """The same bound by higher-order functions alone: bisection on the CDF's logarithm.
 
-    P(X <= k) is summed from the term of 0 upward: fine where (1-p)**n doesn't underflow.
+    The binomial coefficient's logarithm is a sum over 1 to k; the CDF is summed downward
+    from the term of k, relative to it, so nothing underflows.
     """
-    cdf = lambda p: F.aggregate(
-        F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long")),
-        F.struct(F.pow(1 - p, n).alias("term"), F.pow(1 - p, n).alias("sum")),
-        lambda s, j: F.struct(
-            F.when(j <= k, s["term"] * (n - j + 1) / j * p / (1 - p)).otherwise(0.0).alias("term"),
-            (s["sum"] + F.when(j <= k, s["term"] * (n - j + 1) / j * p / (1 - p)).otherwise(0.0)).alias("sum"),
-        ),
-        lambda s: s["sum"],
-    )
+    up = F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long"))
+    choose = F.aggregate(up, F.lit(0.0), lambda s, j: s + F.when(j <= k, F.log((n - j + 1) / j)).otherwise(0.0))
+
+    def log_cdf_at(p: Column) -> Column:
+        odds = (1 - p) / p
+        one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+        step = lambda s, j: s["term"] * F.when(j <= k, j / (n - j + 1) * odds).otherwise(1.0)
+        total = F.aggregate(F.reverse(up), one, lambda s, j: F.struct(step(s, j).alias("term"), (s["sum"] + F.when(j <= k, step(s, j)).otherwise(0.0)).alias("sum")), lambda s: s["sum"])
+        return choose + k * F.log(p) + (n - k) * F.log(1 - p) + F.log(total)
+
     start = F.struct((k / n).cast("double").alias("lo"), F.lit(1.0).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
-        over = cdf(mid) > ALPHA
+        over = log_cdf_at(mid) > math.log(ALPHA)
         return F.struct(F.when(over, mid).otherwise(s["lo"]).alias("lo"), F.when(over, s["hi"]).otherwise(mid).alias("hi"))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["hi"])

@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gatemeter.plans import joining, living, matching, measuring
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (matching, measuring, joining, living):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
