@@ -86,7 +86,7 @@ def parse(text: str) -> tuple[list[Rule], dict]:
 
 def read(spark: SparkSession, path: str) -> tuple[list[Rule], dict]:
     """The bundle at a path of any file system that Spark reads."""
-    return parse(spark.read.option("wholetext", True).text(path).head()[0])
+    return parse(spark.read.text(path, wholetext=True).head()[0])
 
 
 def render(rules: list[Rule], **meta: Any) -> str:

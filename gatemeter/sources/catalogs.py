@@ -18,7 +18,7 @@ PATTERN_KEYS = ("pattern", "patterns", "regex", "regexes")
 
 def texts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(path, json) of whole files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("json"))
 
 

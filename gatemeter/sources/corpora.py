@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gatemeter.functions import classify
 from gatemeter.functions.screen import fingerprint
 
-UNIT = "id string, path string, sha256 string, surface string, strata map<string,string>"
+UNIT = "id:string,path:string,sha256:string,surface:string,strata:map<string,string>"
 PROSE_SUFFIXES = ("md", "txt", "rst", "adoc", "markdown")
 MOST_BYTES = 4 << 20
 
@@ -22,26 +22,32 @@ def utf8(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
 
 
+def relative(path: Column, root: str) -> Column:
+    """A file's path below the root folder, whatever the scheme before it."""
+    inner = root.rstrip("/").split("://", 1)[-1]
+    return F.regexp_replace(path, rf"^.*?\Q{inner}\E/", "")
+
+
 def manifest_corpus(spark: SparkSession, root: str, name: str = "corpus.json") -> DataFrame:
     """(id, text, surface, strata, sha256, size_bytes, problem) of a manifest's units.
 
     A unit is sound if its path stays inside, the file is there, its digest is as said, its
-    text is UTF-8 and not empty, and its labels are plain. Others keep their problem.
+    text is UTF-8 and not empty (by its digest: Spark reads no empty files), and its labels are
+    plain. Others keep their problem.
     """
-    said = spark.read.option("multiLine", True).schema(f"identity string, revision string, surface string, required_strata array<string>, units array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ') for x in UNIT.split(', ')))}>>").json(f"{root.rstrip('/')}/{name}")
+    said = spark.read.option("multiLine", True).schema(f"identity string, revision string, surface string, required_strata array<string>, units array<struct<{UNIT}>>").json(f"{root.rstrip('/')}/{name}")
     units = said.select(F.col("surface").alias("_default"), F.explode("units").alias("u")).select("_default", "u.*")
-    files = _files(spark, root).select("path", "content").withColumnRenamed("path", "_file")
-    met = units.join(files, F.col("_file").endswith(F.concat(F.lit("/"), F.col("path"))), "left") if False else units.withColumn("_key", F.element_at(F.split("path", "/"), -1)).join(
-        files.withColumn("_key2", F.element_at(F.split("_file", "/"), -1)), (F.col("_key") == F.col("_key2")) & F.col("_file").endswith(F.concat(F.lit("/"), F.col("path"))), "left"
-    )
+    files = _files(spark, root).select(relative(F.col("path"), root).alias("_file"), "content")
+    met = units.join(files, F.col("path") == F.col("_file"), "left")
     text = utf8(F.col("content"))
-    labels = F.map_concat(F.create_map(F.lit("file_type"), classify.file_type(F.col("path")), F.lit("prose"), classify.path_prose(F.col("path"))), F.map_filter(F.coalesce("strata", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("file_type", "prose")))
-    own = F.coalesce("strata", F.create_map().cast("map<string,string>"))
-    strata = F.map_concat(F.map_filter(labels, lambda k, v: ~F.map_contains_key(own, k)), own)
+    none = F.create_map().cast("map<string,string>")
+    own = F.coalesce("strata", none)
+    made = F.create_map(F.lit("file_type"), classify.file_type(F.col("path")), F.lit("prose"), classify.path_prose(F.col("path")))
+    strata = F.map_concat(F.map_filter(made, lambda k, v: ~F.map_contains_key(own, k)), own)
     plain = F.forall(F.map_values(strata), lambda v: v.isNotNull() & (v != "") & ~v.rlike("[=&]"))
     problem = (
-        F.when(F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)"), "path_escapes").when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) != F.col("sha256"), "digest")
-        .when(text.isNull(), "not_utf8").when(F.length("content") == 0, "empty").when(~plain, "label")
+        F.when(F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)"), "path_escapes").when(F.col("sha256") == F.sha2(F.lit(""), 256), "empty").when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) != F.col("sha256"), "digest")
+        .when(text.isNull(), "not_utf8").when(~plain, "label")
     )
     return met.select("id", text.alias("text"), F.coalesce("surface", "_default").alias("surface"), strata.alias("strata"), "sha256", F.length("content").cast("long").alias("size_bytes"), problem.alias("problem"))
 
