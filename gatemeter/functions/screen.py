@@ -194,7 +194,7 @@ def strip_assertions(pattern: str) -> str | None:
 
 
 #: Characters and classes on which Python, java.util.regex and RE2 agree.
-_NATIVE = re.compile(r"(?:[A-Za-z0-9 _\"'=:;,@#%&<>/!~`-]|\\[.\-+*?()\[\]{}|/\\^$]|\[\^?(?:[A-Za-z0-9 _.,:;/@=+#%&<>\"'!~()*?{}|$-]|\\[\[\]\\^.-])+\]|[()|]|\(\?:|[*+?]\??|\{\d+(?:,\d*)?\})*")
+_NATIVE = re.compile(r"(?:[A-Za-z0-9 _\"'=:;,@#%&<>/!~`-]|\\[.\-+*?()\[\]{}|/\\^$]|\[\^?(?:[A-Za-z0-9 _.,:;/@=+#%&<>\"'!~()*?{}|$-]|\\[\[\]\\^.-])+\]|\((?!\?)|\(\?:|[)|]|[*+?]\??|\{\d+(?:,\d*)?\})*")
 
 
 def native_safe(pattern: str) -> bool:
