@@ -19,16 +19,31 @@ def trials(units: DataFrame, labels: dict[str, str]) -> DataFrame:
     return units.select(F.explode(strata(labels)).alias("stratum")).groupBy("stratum").agg(F.count("*").alias("trials"))
 
 
+#: Up to so many rules are counted as columns of one aggregate; a wider one leaves generated code.
+WIDE_RULES = 64
+
+
 def rule_hits(matched: DataFrame, rule_ids: list[str], labels: dict[str, str]) -> DataFrame:
-    """(rule_id, stratum, trials, hits) with rows of no hits, in one pass over the units.
+    """(rule_id, stratum, trials, hits) with rows of no hits.
 
-    `matched` has rule_ids, at most one entry a rule. One aggregate makes trials and a count
-    for each rule of each stratum, so no grid is joined and partial sums do the shuffling.
+    `matched` has rule_ids, at most one entry a rule. For a set of usual size one aggregate
+    makes trials and a count for each rule of each stratum, so the units are read once. A
+    larger set counts (stratum, rule) rows, trials among them under a null rule, and fills
+    the grid of strata and rules afterwards. Partial sums do the shuffling in both.
     """
-    named = [F.count_if(F.array_contains("rule_ids", r)).alias(f"r{i}") for i, r in enumerate(rule_ids)]
-    wide = matched.select("rule_ids", F.explode(strata(labels)).alias("stratum")).groupBy("stratum").agg(F.count("*").alias("trials"), *named)
-    rows = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.col(f"r{i}").alias("hits")) for i, r in enumerate(rule_ids)])
-    return wide.select("stratum", "trials", F.explode(rows).alias("x")).select("x.rule_id", "stratum", "trials", "x.hits")
+    at = matched.select("rule_ids", F.explode(strata(labels)).alias("stratum"))
+    if len(rule_ids) <= WIDE_RULES:
+        named = [F.count_if(F.array_contains("rule_ids", r)).alias(f"r{i}") for i, r in enumerate(rule_ids)]
+        wide = at.groupBy("stratum").agg(F.count("*").alias("trials"), *named)
+        rows = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.col(f"r{i}").alias("hits")) for i, r in enumerate(rule_ids)])
+        return wide.select("stratum", "trials", F.explode(rows).alias("x")).select("x.rule_id", "stratum", "trials", "x.hits")
+    own = F.concat(F.array(F.lit(None).cast("string")), F.array_intersect("rule_ids", F.array(*map(F.lit, rule_ids))))
+    counts = at.select("stratum", F.explode(own).alias("rule_id")).groupBy("stratum", "rule_id").agg(F.count("*").alias("n"))
+    by_stratum = counts.groupBy("stratum").agg(
+        F.max(F.when(F.col("rule_id").isNull(), F.col("n"))).alias("trials"), F.map_from_entries(F.collect_list(F.when(F.col("rule_id").isNotNull(), F.struct("rule_id", "n")))).alias("hits")
+    )  # at most one entry a rule
+    grid = by_stratum.select("stratum", "trials", "hits", F.explode(F.array(*map(F.lit, rule_ids))).alias("rule_id"))
+    return grid.select("rule_id", "stratum", "trials", F.coalesce(F.try_element_at("hits", "rule_id"), F.lit(0)).cast("long").alias("hits"))
 
 
 def bundle_hits(matched: DataFrame, labels: dict[str, str]) -> DataFrame:
@@ -111,22 +126,36 @@ def confusion(rows: DataFrame, fired: Column, label: Column) -> DataFrame:
     return c.select("*", ratio("tp", "fn").alias("recall"), ratio("tp", "fp").alias("precision"), ratio("fp", "tn").alias("fpr"))
 
 
-def nearest_index_quantiles(rows: DataFrame, value: str, cuts: list[float]) -> DataFrame:
+def nearest_index_quantiles(rows: DataFrame, value: str, cuts: list[float], buckets: int = 64) -> DataFrame:
     """(q, value) where value is the element round((n - 1) * q) of the sorted values.
 
-    Distinct values are counted first, so only (value, count) rows are put in order.
+    Values are counted in buckets between approximate quantiles (64 cut points whatever the
+    size); only the buckets that hold a wanted rank are put in order, each on its own.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    upto = counts.select(value, F.sum("n").over(Window.orderBy(value)).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"), "n")
-    wanted = upto.select("*", F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("q")).withColumn("at", F.bround((F.col("total") - 1) * F.col("q")).cast("long"))
-    return wanted.where("at < upto AND at >= upto - n").select("q", F.col(value).alias("value"))
-
-
-def corpus_digest(units: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int = 256) -> DataFrame:
-    """One digest of all texts whatever their order: digests by leading byte, then of these."""
-    own = F.sha2(F.col(text_col), 256)
-    part = units.select(own.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("h"))), 256).alias("d"), F.count("*").alias("n"))
-    return part.agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("digest"), F.sum("n").alias("units"))
+    own = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("value"))
+    edges = sorted(set(own.select(F.col("value").cast("double").alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.01))) or [0.0]
+    low = F.array(*map(F.lit, edges))
+    counts = own.groupBy("value").agg(F.count("*").alias("n")).withColumn("b", F.size(F.filter(low, lambda c: F.col("value").cast("double") >= c)))
+    sizes = counts.groupBy("b").agg(F.sum("n").alias("size"))  # a row for each bucket
+    before = sizes.select("b", (F.sum("size").over(Window.orderBy("b")) - F.col("size")).alias("before"), "size", F.sum("size").over(Window.partitionBy()).alias("total"))
+    wanted = before.select("*", F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("q")).withColumn("at", F.bround((F.col("total") - 1) * F.col("q")).cast("long")).where("at >= before AND at < before + size")
+    w = Window.partitionBy("b").orderBy("value")
+    placed = counts.join(F.broadcast(wanted.select("b").distinct()), "b", "left_semi").select("b", "value", F.sum("n").over(w).alias("upto"), "n")  # a row for each cut at most
+    return placed.join(F.broadcast(wanted), "b").where("at < before + upto AND at >= before + upto - n").select("q", "value")
+
+
+def corpus_digest(units: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One digest of all texts whatever their order.
+
+    Texts' digests are put in order within their first four hex digits (65,536 groups), then
+    the groups' digests within the first two, then those: no step holds more than a small
+    part of the corpus, and the definition is the same at every size.
+    """
+    joined = lambda c: F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("b", c))), lambda x: x[c])), 256)
+    own = units.select(F.sha2(F.col(text_col), 256).alias("h")).select("h", F.substring("h", 1, 4).alias("g"))
+    fine = own.groupBy("g").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("h"))), 256).alias("d"), F.count("*").alias("n"))
+    coarse = fine.withColumn("b", F.col("g")).groupBy(F.substring("g", 1, 2).alias("top")).agg(joined("d").alias("d"), F.sum("n").alias("n"))
+    return coarse.withColumn("b", F.col("top")).agg(joined("d").alias("digest"), F.sum("n").alias("units"))
 
 
 def drift(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

@@ -211,15 +211,12 @@ def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         max(n_chars) AS most, count_if(n_chars > 5000) AS long_ones FROM _rank_docs GROUP BY lang""")
 
 
-@query("corpus_digest", """WITH p AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM (SELECT sha256(text) AS h FROM documents WHERE text IS NOT NULL) GROUP BY 1)
-SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS units FROM p""")
+@query("corpus_digest", """WITH f AS (SELECT substr(h, 1, 4) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM (SELECT sha256(text) AS h FROM documents WHERE text IS NOT NULL) GROUP BY 1),
+c AS (SELECT substr(g, 1, 2) AS b, sha256(string_agg(d, chr(10) ORDER BY g)) AS d, sum(n) AS n FROM f GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS units FROM c""")
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.corpus_digest(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
 
 
-_half = "SELECT rule_id, stratum, trials, hits FROM ({})"
-
-
 @query("report_combine", f"SELECT rule_id, stratum, trials, hits, round({_exact}, 6) AS u95 FROM ({_total.replace('rule_id, trials', 'rule_id, stratum, trials')})")
 def report_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of two disjoint halves added up: equal to the report of the whole."""

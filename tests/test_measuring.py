@@ -66,6 +66,9 @@ def test_combined_reports_equal_the_joint_run(spark):
     halves = [measure.rule_hits(df.where(F.col("i") % 2 == k), ["r1", "r2", "r3"], labels) for k in (0, 1)]
     assert {tuple(x) for x in measure.combine(*halves).collect()} == joint
     assert ("r3", "all", 300, 0) in joint and ("r1", "lang=a", sum(x[1] == "a" for x in rows), sum(x[1] == "a" and "r1" in x[2] for x in rows)) in joint
+    many = [*(f"z{i}" for i in range(measure.WIDE_RULES)), "r1", "r2", "r3"]
+    assert {tuple(x) for x in measure.rule_hits(df, many, labels).where("rule_id LIKE 'r%'").collect()} == joint
+    assert measure.rule_hits(df, many, labels).count() == len(many) * 3
     union = {x["stratum"]: x["hits"] for x in measure.bundle_hits(df, labels).collect()}
     assert union["all"] == sum(bool(x[2]) for x in rows)
 
