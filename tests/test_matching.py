@@ -211,3 +211,11 @@ def test_deadline_is_close():
     with pytest.raises(match.Late), match.Deadline(0.2):
         re.search("(a|aa)+$", "a" * 60 + "b")
     assert time.perf_counter() - began < 1.5
+
+
+def test_public_names():
+    import gatemeter
+
+    assert all(getattr(gatemeter, n) is not None for n in gatemeter.__all__) and gatemeter.Rule is Rule
+    with pytest.raises(AttributeError):
+        gatemeter.nothing
