@@ -200,3 +200,45 @@ _NATIVE = re.compile(r"(?:[A-Za-z0-9 _\"'=:;,@#%&<>/!~`-]|\\[.\-+*?()\[\]{}|/\\^
 def native_safe(pattern: str) -> bool:
     """Whether the pattern means the same in the JVM: ASCII literals, explicit classes, plain groups."""
     return _NATIVE.fullmatch(pattern) is not None and refusal(pattern, False) is None
+
+
+def required(pattern: str, most: int = 8) -> frozenset[str] | None:
+    """Literals of which every match contains at least one; None where none can be named.
+
+    Looking for a literal is far cheaper than a pattern, so a match is only tried where one
+    is there. Patterns with inline flags aren't read.
+    """
+    if re.search(r"\(\?[aiLmsux-]", pattern):
+        return None
+
+    def best(found: list[frozenset[str]]) -> frozenset[str] | None:
+        return max((f for f in found if len(f) <= most), key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+    def walk(tree) -> frozenset[str] | None:
+        found: list[frozenset[str]] = []
+        run: list[str] = []
+
+        def close() -> None:
+            if run:
+                found.append(frozenset({"".join(run)}))
+                run.clear()
+
+        for op, value in tree:
+            if op is C.LITERAL:
+                run.append(chr(value))
+                continue
+            close()
+            inner: frozenset[str] | None = None
+            if op is C.BRANCH:
+                each = [walk(x) for x in value[1]]
+                inner = None if None in each else frozenset().union(*each)
+            elif op is C.SUBPATTERN or op in _REPEATS and value[0] >= 1:
+                inner = walk(value[-1] if op is C.SUBPATTERN else value[2])
+            elif op is C.ATOMIC_GROUP:
+                inner = walk(value)
+            if inner:
+                found.append(inner)
+        close()
+        return best(found)
+
+    return walk(parser.parse(pattern))

@@ -88,7 +88,7 @@ def boundary_hits(units: DataFrame, rules: list[Rule], unit_col: str = "doc_id",
         bare = {}
         for c in ready:
             made = _without_assertions(c.rule)
-            bare[c.rule.id] = c if c.rule.kind.startswith("SUBSTRING") else None if made is None else type(c)(c.rule, [re.compile(p, x.flags) for p, x in zip(made, c.patterns, strict=True)])
+            bare[c.rule.id] = c if c.rule.kind.startswith("SUBSTRING") else None if made is None else type(c)(c.rule, [re.compile(p, x.flags) for p, x in zip(made, c.patterns, strict=True)], [None] * len(made))
         for batch in batches:
             ids, names, flags = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

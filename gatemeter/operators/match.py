@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gatemeter.functions.screen import native_safe, refusal, scoped_flags
+from gatemeter.functions.screen import native_safe, refusal, required, scoped_flags
 from gatemeter.model import MAX_NEEDLES, MAX_PREDICATE_CHARS, MAX_RULES, Rule
 
 
@@ -42,15 +42,28 @@ def schedule_key(r: Rule) -> tuple:
 
 
 def predicate(rule: Rule, text: Column) -> Column:
-    """The rule as a boolean column; only for native-safe patterns."""
+    """The rule as a boolean column; only for native-safe patterns.
+
+    A pattern is tried only where a literal that it needs is found; ASCII letters of any case
+    stay themselves when the text is lowered, so nothing is lost.
+    """
     parts: list[Column] = []
+    low = F.lower(text)
     for p in rule.patterns:
         if rule.kind.startswith("SUBSTRING"):
-            parts.append(text.contains(p) if rule.case_sensitive else F.lower(text).contains(p.lower()))
-        else:
-            if not native_safe(p):
-                raise ValueError(f"{rule.id}: not safe on the native path")
-            parts.append(text.rlike(p if rule.case_sensitive else f"(?i){p}"))
+            parts.append(text.contains(p) if rule.case_sensitive else low.contains(p.lower()))
+            continue
+        if not native_safe(p):
+            raise ValueError(f"{rule.id}: not safe on the native path")
+        cased = rule.case_sensitive or not re.search("[A-Za-z]", p)
+        hit = text.rlike(p if cased else f"(?i){p}")
+        needs = sorted(required(p) or ())
+        if needs:
+            there = text.contains(needs[0]) if cased else low.contains(needs[0].lower())
+            for n in needs[1:]:
+                there = there | (text.contains(n) if cased else low.contains(n.lower()))
+            hit = there & hit
+        parts.append(hit)
     out = parts[0]
     for c in parts[1:]:
         out = out & c if rule.kind in ("SUBSTRING_ALL", "REGEX_ALL") else out | c
@@ -78,21 +91,44 @@ class Late(Exception):
 class Compiled:
     rule: Rule
     patterns: list[re.Pattern]
+    #: for each pattern, literals of which a match needs one; None if unknown
+    needs: list[frozenset[str] | None]
+
+    def _find(self, k: int, text: str) -> re.Match | None:
+        need = self.needs[k]
+        if need and (self.rule.case_sensitive or text.isascii()):  # beyond ASCII, ignoring case isn't lowering
+            where = text if self.rule.case_sensitive else text.lower()
+            if not any(n in where for n in need):
+                return None
+        return self.patterns[k].search(text)
 
     def search(self, text: str) -> tuple[int, int] | None:
         """The span that the rule reports, or None."""
         kind = self.rule.kind
-        found = [p.search(text) for p in self.patterns] if kind in ("REGEX_ANY", "REGEX_ALL", "SUBSTRING_ALL") else []
         if kind in ("REGEX_ALL", "SUBSTRING_ALL"):
-            return found[0].span() if all(found) else None
+            first = None
+            for k in range(len(self.patterns)):
+                m = self._find(k, text)
+                if m is None:
+                    return None
+                first = first or m
+            return first.span()
         if kind == "REGEX_ANY":
+            found = [self._find(k, text) for k in range(len(self.patterns))]
             return min((m.span() for m in found if m), key=lambda s: s[0], default=None)
-        for p in self.patterns:
-            if m := p.search(text):
+        for k in range(len(self.patterns)):
+            if m := self._find(k, text):
                 return m.span()
         return None
 
 
+def _needs(rule: Rule) -> list[frozenset[str] | None]:
+    if rule.kind.startswith("SUBSTRING"):
+        return [None] * len(rule.patterns)
+    found = map(required, rule.patterns)
+    return [f if f is None or rule.case_sensitive else frozenset(x.lower() for x in f) if all(x.isascii() for x in f) else None for f in found]
+
+
 def compiled(rules: list[Rule]) -> tuple[list[Compiled], list[tuple[str, str]]]:
     """(rules ready to run, (id, reason) of those that can't)."""
     ready, failed = [], []
@@ -105,7 +141,7 @@ def compiled(rules: list[Rule]) -> tuple[list[Compiled], list[tuple[str, str]]]:
             failed.append((r.id, why))
             continue
         flags = 0 if r.case_sensitive else re.IGNORECASE
-        ready.append(Compiled(r, [re.compile(re.escape(p) if plain else scoped_flags(p), flags) for p in r.patterns]))
+        ready.append(Compiled(r, [re.compile(re.escape(p) if plain else scoped_flags(p), flags) for p in r.patterns], _needs(r)))
     return ready, sorted(failed)
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gatemeter.functions import boolrules, settings as settings_, text as tx
-from gatemeter.functions.screen import hazards, join_surrogates, native_safe, refusal, scoped_flags, strip_assertions
+from gatemeter.functions.screen import hazards, join_surrogates, native_safe, refusal, required, scoped_flags, strip_assertions
 from gatemeter.model import Binding, Rule
 from gatemeter.operators import audit, match
 
@@ -77,6 +77,19 @@ def test_screening_order_and_hazards():
     assert native_safe("[A-Za-z0-9]{3,}") and not native_safe(r"\w+") and not native_safe("a.b") and not native_safe("(?=x)")
 
 
+def test_required_literals():
+    assert required("copyright|licen[sc]e") == {"copyright", "licen"} and required("(?:ab+c|xyz)?d") == {"d"} and required("[0-9]+") is None
+    assert required("(foo){2,}bar?") == {"foo"} and required("a|[bc]") is None and required("(?i)abc") is None and required("x*yy(?=zzz)") == {"yy"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["ab+c", "(?:ab|cd)e", "a[bc]d|bd", "(ab){2}", "a{0,2}bcd", "b(?:c|d)?a", "K+s"]), st.text(alphabet="abcdeKkSs\u017f\u212a ", max_size=30), st.booleans())
+def test_literals_never_hide_a_match(pattern, text, cased):
+    ready = match.compiled([Rule("r", "REGEX", (pattern,), case_sensitive=cased)])[0][0]
+    want = re.search(pattern, text, 0 if cased else re.IGNORECASE)
+    assert ready.search(text) == (want.span() if want else None)
+
+
 def test_pattern_rewrites():
     assert re.search(join_surrogates(r"\ud83d\ude00!")[0], "😀!") and "left alone" in join_surrogates(r"\ud83d\ude00+")[1][0]
     assert scoped_flags("(?i)ab") == "(?i:ab)" and scoped_flags("ab") == "ab"
