@@ -242,3 +242,19 @@ def required(pattern: str, most: int = 8) -> frozenset[str] | None:
         return best(found)
 
     return walk(parser.parse(pattern))
+
+
+def from_run_start(pattern: str) -> str:
+    """A pattern that matches somewhere in just the same texts, tried only where a run begins.
+
+    If a pattern begins with an unbounded repeat of a class, a match from within a run goes on
+    from the run's first character too. For yes-or-no tests only: spans differ.
+    """
+    tree = parser.parse(pattern)
+    if not len(tree) or tree[0][0] is not C.MAX_REPEAT:
+        return pattern
+    least, most, inner = tree[0][1]
+    own = re.match(r"\[(?:\\.|[^\]\\])+\]", pattern)
+    if least < 1 or most is not C.MAXREPEAT or len(inner) != 1 or inner[0][0] is not C.IN or own is None:
+        return pattern
+    return f"(?<!{own[0]}){pattern}"

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gatemeter.functions.screen import native_safe, refusal, required, scoped_flags
+from gatemeter.functions.screen import from_run_start, native_safe, refusal, required, scoped_flags
 from gatemeter.model import MAX_NEEDLES, MAX_PREDICATE_CHARS, MAX_RULES, Rule
 
 
@@ -56,7 +56,7 @@ def predicate(rule: Rule, text: Column) -> Column:
         if not native_safe(p):
             raise ValueError(f"{rule.id}: not safe on the native path")
         cased = rule.case_sensitive or not re.search("[A-Za-z]", p)
-        hit = text.rlike(p if cased else f"(?i){p}")
+        hit = text.rlike(from_run_start(p) if cased else f"(?i){from_run_start(p)}")
         needs = sorted(required(p) or ())
         if needs:
             there = text.contains(needs[0]) if cased else low.contains(needs[0].lower())

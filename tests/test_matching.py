@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gatemeter.functions import boolrules, settings as settings_, text as tx
-from gatemeter.functions.screen import hazards, join_surrogates, native_safe, refusal, required, scoped_flags, strip_assertions
+from gatemeter.functions.screen import from_run_start, hazards, join_surrogates, native_safe, refusal, required, scoped_flags, strip_assertions
 from gatemeter.model import Binding, Rule
 from gatemeter.operators import audit, match
 
@@ -82,6 +82,13 @@ def test_required_literals():
     assert required("(foo){2,}bar?") == {"foo"} and required("a|[bc]") is None and required("(?i)abc") is None and required("x*yy(?=zzz)") == {"yy"}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(["[ab]{3,}", "[ab]+c", "[a-c]{2,}[bd]x?", "[^a]+b", "[ab]{2,3}c", "[ab]+|c", "([ab]+)c"]), st.text(alphabet="abcdx", max_size=20))
+def test_run_starts_match_the_same_texts(pattern, text):
+    assert bool(re.search(from_run_start(pattern), text)) == bool(re.search(pattern, text))
+    assert ("(?<!" in from_run_start(pattern)) == (pattern[0] == "[" and pattern[1] != "^" and "{2,3}" not in pattern and "|" not in pattern)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sampled_from(["ab+c", "(?:ab|cd)e", "a[bc]d|bd", "(ab){2}", "a{0,2}bcd", "b(?:c|d)?a", "K+s"]), st.text(alphabet="abcdeKkSs\u017f\u212a ", max_size=30), st.booleans())
 def test_literals_never_hide_a_match(pattern, text, cased):
