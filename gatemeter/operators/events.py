@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -167,13 +167,13 @@ DECISION_DDL = "action string, context string, message string, updated string, l
 _KINDS = [pa.string()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
 
 
-def decisions(events: DataFrame, rules: list[Rule], lanes: dict[str, str], config: Config = Config(), id_col: str = "event_id", payload_col: str = "payload") -> DataFrame:
-    """One decision row per event, batch or stream."""
+def decisions(events: DataFrame, rules: list[Rule], lanes: dict[str, str], config: Config = Config(), id_col: str = "event_id", payload_col: str = "payload", make: Callable = Decider) -> DataFrame:
+    """One decision row per event, batch or stream. `make` may put another decider in place."""
     check_load(rules)
     kind = events.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decider = Decider(rules, lanes, config)
+        decider = make(rules, lanes, config)
         for batch in batches:
             made = [decider.decide(x) for x in batch.column(1).to_pylist()]
             rows = [(d.action, d.context, d.message, d.updated, ",".join(d.lanes), d.incomplete, d.n_leaves, d.pairs_scheduled, d.pairs_finished, [json.dumps(r, sort_keys=True) for r in d.records]) for d in made]

@@ -99,6 +99,13 @@ def write(spark: SparkSession, path: str, rules: list[Rule], **meta: Any) -> Non
     spark.createDataFrame([(render(rules, **meta).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def export_enabled(spark: SparkSession, path: str, rules: list[Rule], surfaces: list[str], sources: dict[str, str]) -> list[Rule]:
+    """Write exactly the rules that a configuration enables, and give them back."""
+    enabled = [r for r in rules if r.runnable and r.surface in surfaces and sources.get(r.source, "DO_NOT_SHIP") != "DO_NOT_SHIP"]
+    write(spark, path, enabled, surfaces=sorted(surfaces))
+    return enabled
+
+
 def trimmed(rule: Rule) -> Rule:
     """The rule without sample texts; digests of its examples say what was tested."""
     import hashlib

@@ -41,6 +41,23 @@ def test_bundle_round_trip(spark, tmp_path):
     assert bundles.trimmed(rules[0]).examples == () and len(bundles.trimmed(rules[0]).extra["examples_sha256"]) == 1
 
 
+def test_bundle_data_source_and_export(spark, tmp_path):
+    from gatemeter.sources.datasource import RuleBundleSource
+
+    rules = [*bundles.starter(), Rule("a:1", "NONE", (), not_runnable_reason="why", source="builtin"), Rule("b:1", "REGEX", ("x",), source="b", bindings=(yamlrules_binding(),))]
+    put(tmp_path / "x.json", bundles.render(rules))
+    spark.dataSource.register(RuleBundleSource)
+    assert rules_list(spark.read.format("rulebundle").load(str(tmp_path / "x.json"))) == sorted(rules, key=lambda r: r.id)
+    enabled = bundles.export_enabled(spark, str(tmp_path / "e"), rules, ["OUT"], {"builtin": "RECORD"})
+    assert bundles.read(spark, str(tmp_path / "e"))[0] == enabled == rules[:4]
+
+
+def yamlrules_binding():
+    from gatemeter.model import Binding
+
+    return Binding("CFG", True, "all", ("x", "y"), True, (("status", "pass"),))
+
+
 @pytest.mark.parametrize("text", ['{"rules": [{"id": "x", "id": "y"}]}', '[{"id": "x", "odd": 1, "predicate_kind": "NONE", "not_runnable_reason": "w"}]', '{"rules": 3}', '{"format_version": 9, "rules": []}', '[{"id":"x","predicate_kind":"REGEX","predicate":"a"},{"id":"x","predicate_kind":"REGEX","predicate":"a"}]', '[{"id":"x","predicate_kind":"REGEX","predicate":"a","surface":"ODD"}]'])
 def test_bad_bundles_are_refused(text):
     with pytest.raises((ValueError, KeyError)):
