@@ -56,6 +56,14 @@ def test_a_late_pair_is_reported_and_others_go_on(spark):
     assert match.findings(found).count() == 0
 
 
+def test_blocks_report_what_pairs_would():
+    c = match.compiled([Rule("slow", "REGEX", ("(a|aa)+$",))])[0][0]
+    texts = ["a", "b", None, "a" * 60 + "b"] * 2 + ["aa"] * 300 + ["a" * 60 + "b", "za"]
+    got = match.spans_of(c, texts, 0.05)
+    assert [i for i, x in enumerate(got) if x == match.LATE] == [3, 7, 308] and got[0] == (0, 1) and got[1] is None and got[309] == (1, 2) and len(got) == len(texts)
+    assert match.spans_of(c, ["a", None], None) == [(0, 1), None]
+
+
 def test_limits_refuse_and_never_cut():
     many = [Rule(f"r{i}", "REGEX", ("x",)) for i in range(4097)]
     for bad in (many, [RULES[0], RULES[0]], [Rule("n", "SUBSTRING_ANY", ("x",) * 65)], [Rule(f"l{i}", "REGEX", ("y" * 4000,)) for i in range(300)]):
