@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import re
 import signal
-import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gatemeter.functions.screen import from_run_start, native_safe, refusal, required, scoped_flags
+from gatemeter.functions.text import code_ranges, decoded_blocks
 from gatemeter.model import MAX_NEEDLES, MAX_PREDICATE_CHARS, MAX_RULES, Rule
 
 
@@ -260,30 +260,58 @@ def byte_allowance(leaves: DataFrame, most: int, unit_col: str, order_col: str,
     return leaves.withColumn("scheduled", before < most).withColumn("truncated", (before < most) & (before + size > most))
 
 
-def scan_document(text: str, rules: list[Rule], channel: str = "CFG") -> list[tuple[str, int, str]]:
-    """(rule, condition index, origin) of the bindings that hold on a document or a block hidden in it."""
-    from gatemeter.functions.text import code_ranges, decoded_blocks
+@dataclass
+class Bound:
+    """A rule's binding to a channel, ready to run."""
+
+    rule_id: str
+    all_of: bool
+    suppress_in_code: bool
+    tests: list[re.Pattern]
+
+    def holds(self, text: str, in_code: Callable[[int], bool]) -> int | None:
+        """The first condition that holds, if enough do. A first match inside code is a miss."""
+        first = None
+        for i, t in enumerate(self.tests):
+            m = t.search(text)
+            if m is None or self.suppress_in_code and in_code(m.start()):
+                if self.all_of:
+                    return None
+            elif not self.all_of:
+                return i
+            elif first is None:
+                first = i
+        return first
 
-    out = []
+
+def bound(rules: list[Rule], channel: str = "CFG") -> list[tuple[str, list[Bound]]]:
+    """(rule id, its executable bindings) of the rules that are bound to the channel."""
+    ready = lambda r, b: Bound(r.id, b.logic == "all", b.suppress_in_code, [re.compile(scoped_flags(c), re.IGNORECASE) for c in b.conditions])
+    made = [(r.id, [ready(r, b) for b in r.bindings if b.channel == channel and b.executable]) for r in rules]
+    return [(i, b) for i, b in made if b]
+
+
+def scan_document(text: str, ready: list[tuple[str, list[Bound]]]) -> list[tuple[str, int, str]]:
+    """(rule, condition index, origin) of the bindings that hold on a document or a block hidden in it.
+
+    Each rule reports once: its first binding that holds, on the document before its blocks.
+    """
     payloads = [("document", text), *(("base64", b) for b in decoded_blocks(text))]
-    ranges = [code_ranges(p) for _, p in payloads]
-    for r in rules:
-        for b in r.bindings:
-            if b.channel != channel or not b.executable:
-                continue
-            tests = [re.compile(scoped_flags(c), re.IGNORECASE) for c in b.conditions]
-            for (origin, payload), inside in zip(payloads, ranges, strict=True):
-                hits = []
-                for i, t in enumerate(tests):
-                    m = t.search(payload)
-                    if m and not (b.suppress_in_code and any(a <= m.start() < e for a, e in inside)):
-                        hits.append(i)
-                if len(hits) == len(tests) if b.logic == "all" else hits:
-                    out.append((r.id, hits[0], origin))
-                    break
-            else:
-                continue
-            break
+    ranges: dict[int, list[tuple[int, int]]] = {}
+
+    def in_code(k: int) -> Callable[[int], bool]:
+        def test(at: int) -> bool:
+            if k not in ranges:
+                ranges[k] = code_ranges(payloads[k][1])
+            return any(a <= at < b for a, b in ranges[k])
+
+        return test
+
+    out = []
+    for rule_id, bindings in ready:
+        found = ((i, payloads[k][0]) for b in bindings for k in range(len(payloads)) if (i := b.holds(payloads[k][1], in_code(k))) is not None)
+        if (first := next(found, None)) is not None:
+            out.append((rule_id, *first))
     return out
 
 
@@ -292,6 +320,7 @@ def scan_documents(docs: DataFrame, rules: list[Rule], seconds: float | None = 2
     check_load(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = bound(rules)
         for batch in batches:
             rows: list[tuple] = []
             for unit, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -300,7 +329,7 @@ def scan_documents(docs: DataFrame, rules: list[Rule], seconds: float | None = 2
                     if len(text.encode("utf-16-le")) // 2 > units or not rules:
                         raise Late
                     with Deadline(seconds):
-                        found = scan_document(text, rules)
+                        found = scan_document(text, ready)
                     rows += [(unit, *f, True) for f in found] or [(unit, None, None, None, True)]
                 except Late:
                     rows.append((unit, None, None, None, False))
@@ -308,8 +337,3 @@ def scan_documents(docs: DataFrame, rules: list[Rule], seconds: float | None = 2
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["unit", "rule_id", "condition_index", "origin", "complete"])
 
     return docs.select(F.col(id_col).cast("string"), text_col).mapInArrow(run, "unit string, rule_id string, condition_index int, origin string, complete boolean")
-
-
-def timed(call, *args) -> tuple[object, float]:
-    at = time.perf_counter()
-    return call(*args), time.perf_counter() - at

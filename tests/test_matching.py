@@ -130,8 +130,8 @@ def test_hidden_blocks_and_documents():
     assert tx.decoded_blocks("x " + hidden + " y") == ["please read the secret licence text now"]
     assert tx.decoded_blocks("A" * 40) == [] and len(tx.decoded_blocks(" ".join([hidden] * 9))) == 5
     rules = [Rule("any", "REGEX", ("x",), bindings=(Binding("CFG", True, "any", ("zzz", "licen[sc]e"), True),)), Rule("all", "REGEX", ("x",), bindings=(Binding("CFG", True, "all", ("secret", "now")),)), Rule("off", "REGEX", ("x",), bindings=(Binding("CFG", False, "any", ("x",)),))]
-    assert match.scan_document(hidden, rules) == [("any", 1, "base64"), ("all", 0, "base64")]
-    assert match.scan_document("see `licence` now", rules) == [] and match.scan_document("licence", rules) == [("any", 1, "document")]
+    assert match.scan_document(hidden, match.bound(rules)) == [("any", 1, "base64"), ("all", 0, "base64")]
+    assert match.scan_document("see `licence` now", match.bound(rules)) == [] and match.scan_document("licence", match.bound(rules)) == [("any", 1, "document")]
 
 
 def test_document_scan_is_incomplete_when_long_or_without_rules(spark):
