@@ -65,6 +65,8 @@ class NearRules:
 
 
 DEFAULT = NearRules()
+#: bytes of sets whose wide signatures are made at once
+SET_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(977))
 _MULTIPLY = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64)
@@ -240,8 +242,8 @@ def _widened(left: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for i, j in slices(batch.column(1), SET_BYTES):
+                part = batch.slice(i, j - i)
                 members = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
                 sizes = np.array([len(x) for x in members])
                 flat = np.ascontiguousarray(wide_signatures(np.concatenate(members), sizes, rules.wide_bits)).view(np.int64).reshape(-1)

@@ -19,11 +19,17 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of an Arrow batch while scratch tables are written; rows with whole sets are wide.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Scratch:
     """Parquet tables of one run. Those kept stay as long as results may read them."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, batch_bytes: int = BATCH_BYTES):
         self.spark = spark
+        self.batch_bytes = batch_bytes
         self.top = f"{folder(spark)}/{uuid.uuid4().hex}"
         self.count = 0
 
@@ -31,7 +37,12 @@ class Scratch:
         """The rows of df, written and read again."""
         self.count += 1
         path = f"{self.top}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(self.batch_bytes))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
