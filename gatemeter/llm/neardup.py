@@ -14,8 +14,10 @@ linked and components are built. Only keys that still hold several components go
 of their classes is compared with a pivot of the key. In the end the classes of different
 components that share a key are compared pair by pair, each pair under one of its keys, if
 their sizes allow the similarity and wide signatures of 3072 one-bit minima, made for these
-classes alone, are near enough (4.5 standard deviations above the mean at 0.8); pivots are
-compared where the first signatures differ in 30 values at most (4.6).
+classes alone, are near enough: in the first 384 bits and in all, the differing bits are 5.5
+standard deviations above the mean at similarity 0.8 at most (a pair at 0.8 is past these
+with probability 3e-7 and 6e-8). Pivots are compared where the first signatures differ in 33
+values at most (2e-7).
 Every link is confirmed on the full sets. Components don't change by links inside them, so
 none that matters is lost.
 
@@ -47,17 +49,18 @@ class NearRules:
     percent: int = 80
     chunks: int = 12
     chunk_values: int = 6
-    max_distance: int = 30
+    max_distance: int = 33
     #: one-bit minima of the wide signature that is made where many classes remain
     wide_bits: int = 3072
+    #: of these the first that are looked at
+    glance_bits: int = 384
     #: ids that may be broadcast to pick texts; more are joined by shuffle
     broadcast_ids: int = 500_000
 
-    @property
-    def max_wide_distance(self) -> int:
-        """Differing bits of the wide signature: 4.5 standard deviations above the mean at the similarity."""
+    def max_wide_distance(self, bits: int) -> int:
+        """Differing ones of so many bits of the wide signature: 5.5 standard deviations above the mean at the similarity."""
         p = (100 - self.percent) / 200
-        return int(self.wide_bits * p + 4.5 * (self.wide_bits * p * (1 - p)) ** 0.5)
+        return int(bits * p + 5.5 * (bits * p * (1 - p)) ** 0.5)
 
     @property
     def values(self) -> int:
@@ -297,8 +300,9 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
             one = info.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("wide").alias("wa"))
             two = info.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("wide").alias("wb"))
             once = F.col("key") % 512 == first_place("sa", "sb", rules)
-            near = F.expr(" + ".join(f"bit_count(wa[{k}] ^ wb[{k}])" for k in range(rules.wide_bits // 64)) + f" <= {rules.max_wide_distance}")
-            new = one.join(two, (F.col("key") == F.col("key2")) & (F.col("la") < F.col("lb")) & _sizes(rules) & once & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            # cheap tests first: most pairs are far apart already in a few longs
+            may = (F.col("la") < F.col("lb")) & _sizes(rules) & _wide_near(rules.glance_bits, rules) & once & _wide_near(rules.wide_bits, rules)
+            new = one.join(two, (F.col("key") == F.col("key2")) & may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = scratch.cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = scratch.cut(tried.unionByName(fresh))
         found = scratch.cut(_confirmed(fresh if last else close(fresh), sets, rules))
@@ -311,6 +315,11 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
     return of_id.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _wide_near(bits: int, rules: NearRules) -> Column:
+    """Whether the first so many bits of two wide signatures differ no more than they may."""
+    return F.expr(" + ".join(f"bit_count(wa[{k}] ^ wb[{k}])" for k in range(bits // 64)) + f" <= {rules.max_wide_distance(bits)}")
+
+
 def _sizes(rules: NearRules) -> Column:
     return F.expr(f"100 * least(na, nb) >= {rules.percent} * greatest(na, nb)")
 
