@@ -6,9 +6,10 @@ A page is read as a stream of tags, texts, comments and raw elements. Two things
 differ, texts become slots, elements that not all pages have become optional, and
 neighbouring elements of one name are folded to a repeated group. The result is a regular
 expression without unions. Wrappers are built inside the partitions as pages go by and then
-merged by host in two steps (host and a salt, then host), as a wrapper aligns with a
-wrapper as with a page; what is shuffled is one wrapper for each host and partition. Texts
-that stay constant over most pages of a host are its template texts.
+merged by host in two steps, as a wrapper aligns with a wrapper as with a page: first those
+of partitions with one integer root, then the roots', so that of P partitions no task merges
+more than about 2 sqrt(P) wrappers of a host. What is shuffled is one wrapper for each host
+and partition. Texts that stay constant over most pages of a host are its template texts.
 
 *Extraction.* Elements that hold no main text (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by name, role, class or id) are
@@ -27,11 +28,13 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from gatemeter.llm.textbatch import filled
@@ -248,17 +251,19 @@ def wrappers(pages: DataFrame, url: str = "url", html_col: str = "html") -> Data
     """(host, wrapper as JSON): one row for each host."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        root = math.isqrt(context.partitionId()) if context else 0
         made: dict[str, dict] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), filled(batch.column(1)).to_pylist(), strict=True):
                 made[host] = merged(made.get(host), tree(page))
             if len(made) > 20_000:
-                yield out(made)
+                yield out(made, root)
                 made = {}
-        yield out(made)
+        yield out(made, root)
 
-    def out(made: dict[str, dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array([json.dumps(w) for w in made.values()], pa.string())], names=["host", "wrapper"])
+    def out(made: dict[str, dict], root: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array([json.dumps(w) for w in made.values()], pa.string()), pa.array([root] * len(made), pa.int32())], names=["host", "wrapper", "root"])
 
     def combine(key, table):
         whole = None
@@ -266,9 +271,9 @@ def wrappers(pages: DataFrame, url: str = "url", html_col: str = "html") -> Data
             whole = merged(whole, json.loads(text))
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(whole)], pa.string())})
 
-    local = pages.select(host_column(url).alias("host"), F.col(html_col).alias("html")).mapInArrow(build, "host string, wrapper string")
-    salted = local.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(16)).alias("salt")).applyInArrow(combine, "host string, wrapper string")
-    return salted.groupBy("host").applyInArrow(combine, "host string, wrapper string")
+    local = pages.select(host_column(url).alias("host"), F.col(html_col).alias("html")).mapInArrow(build, "host string, wrapper string, root int")
+    some = local.groupBy("host", "root").applyInArrow(combine, "host string, wrapper string")
+    return some.groupBy("host").applyInArrow(combine, "host string, wrapper string")
 
 
 def templates(own: DataFrame) -> DataFrame:
