@@ -20,7 +20,8 @@ a newline. Nothing is capped.
 
 Wrappers are broadcast only while small (their size is measured), else joined by host.
 Defined results: null html counts as empty and gives an empty text; a null url is a host of
-its own; repeated rows are read each on its own; unclosed and misnested markup is read on;
+its own; repeated rows are read each on its own; unclosed and misnested markup is read on,
+and an element left out whose end tag is missing ends where HTML closes it;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +31,7 @@ import html
 import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -60,6 +62,22 @@ _SPACE = re.compile(r"\s+")
 #: an opening tag closes an open one of these names first
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: names whose open elements an opening tag closes, a block also an open p; end tags may be missing
+_CELLS = frozenset("td th tr tbody thead tfoot".split())
+_IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)} | dict.fromkeys(("tbody", "thead", "tfoot"), (*_CELLS, "caption"))
+_MARKED = frozenset(("article", "main"))
+#: end tags that reach through an open article
+_WHOLE = frozenset(("article", "main", "body", "html"))
+#: an end tag reaches no further up: of a cell or row, of another block, of an inline element
+_CELL_STOPS = frozenset("table td th caption button object template".split())
+_STOPS = _BLOCK | _CELL_STOPS
+_LIST_STOPS = _STOPS - {"address", "div", "p"}
+_SCOPES = dict.fromkeys(_CELLS, frozenset(("table",))) | {"table": frozenset(), "li": _CELL_STOPS | {"ul", "ol"}} | dict.fromkeys(_WHOLE, frozenset())
+
+
+def _named(attrs: str) -> bool:
+    return "=" in attrs and any(k.lower() in ("class", "id") and _NAMES.search(v.strip("\"'")) for k, v in _ATTR.findall(attrs))
+
 
 def _boilerplate(name: str, attrs: str) -> bool:
     if name in _LEFT_OUT:
@@ -72,12 +90,102 @@ def _boilerplate(name: str, attrs: str) -> bool:
     return "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) is not None
 
 
+def _kept_open(names: list[str], counts: dict[str, int], name: str) -> int:
+    """How many of the open elements stay open when an element of this name begins."""
+    keep = len(names)
+    closed = _IMPLIED.get(name, ())
+    if any(counts.get(n) for n in closed):
+        cell = name in _CELLS
+        for k in range(len(names) - 1, -1, -1):
+            if names[k] in closed:
+                keep = k
+                if not cell:
+                    break
+            elif names[k] == "table" if cell else names[k] in _LIST_STOPS:
+                break
+    if name in _BLOCK and counts.get("p"):
+        for k in range(keep - 1, -1, -1):
+            if names[k] == "p":
+                return k
+            if names[k] in _STOPS:
+                break
+    return keep
+
+
+def _ended(names: list[str], counts: dict[str, int], name: str, read: int) -> int:
+    """How many of the open elements stay open after an end tag; the first `read` of them are read, not left out."""
+    if counts.get(name):
+        stops = _SCOPES.get(name, _CELL_STOPS if name in _STOPS else _STOPS)
+        for k in range(len(names) - 1, -1, -1):
+            if names[k] == name:
+                return k
+            if names[k] in stops or k < read and names[k] in _MARKED and name not in _WHOLE:
+                break
+    return len(names)
+
+
+class _Events:
+    """Texts and tags of a page, and where the element of each opening tag ends."""
+
+    def __init__(self, page: str):
+        self.text: list[str | None] = []  # None: a tag
+        self.name: list[str] = []
+        self.attrs: list[str | None] = []  # None: an end tag
+        self.end: dict[int, int] = {}  # the first event after the element
+        self.own: set[int] = set()  # elements with an end tag of their own
+        names: list[str] = []
+        starts: list[int] = []
+        counts: dict[str, int] = {}
+        read: int | None = None  # open elements that lie outside of all that may be left out
+
+        def cut(keep: int, at: int, by_tag: bool) -> None:
+            nonlocal read
+            for k in range(keep, len(names)):
+                counts[names[k]] -= 1
+                self.end[starts[k]] = at
+            if by_tag:
+                self.own.add(starts[keep])
+                self.end[starts[keep]] = at + 1
+            del names[keep:], starts[keep:]
+            if read is not None and read >= keep:
+                read = None
+
+        for m in _LEX.finditer(page):
+            name = m["name"]
+            at = len(self.text)
+            if name is None:
+                self.add("<" if m[0] == "<" else "" if m[0][0] == "<" else m[0], "", None)
+                continue
+            name, attrs = name.lower(), m["attrs"]
+            if m["end"]:
+                keep = _ended(names, counts, name, len(names) if read is None else read)
+                if keep < len(names):
+                    cut(keep, at, True)
+                self.add(None, name, None)
+                continue
+            keep = _kept_open(names, counts, name)
+            if keep < len(names):
+                cut(keep, at, False)
+            self.add(None, name, attrs)
+            if name not in _VOID and not attrs.endswith("/"):
+                if read is None and (_boilerplate(name, attrs) or name == "article" and _named(attrs)):
+                    read = len(names)
+                names.append(name)
+                starts.append(at)
+                counts[name] = counts.get(name, 0) + 1
+        cut(0, len(self.text), False)
+
+    def add(self, text: str | None, name: str, attrs: str | None) -> None:
+        self.text.append(text)
+        self.name.append(name)
+        self.attrs.append(attrs)
+
+
 def blocks(page: str) -> tuple[list[str], bool]:
     """(texts of the blocks in page order, whether they stand in an article or main)."""
     inside: list[list[str]] = [[], []]  # of the body, of articles
     held: list[str] = []
-    skip, depth, articles = "", 0, 0
-    unclosed: bool | None = None  # whether the element left out has no end; asked once for each
+    articles = 0
 
     def end_block() -> None:
         if held:
@@ -88,43 +196,31 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 if articles:
                     inside[1].append(text)
 
-    for m in _LEX.finditer(page):
-        name = m["name"]
-        if name is None:
-            if not skip and m[0][0] != "<":
-                held.append(m[0])
-            elif m[0] == "<" and not skip:
-                held.append("<")
-            elif not skip:
-                held.append("")
+    events = _Events(page)
+    begun = [i for i, (name, attrs) in enumerate(zip(events.name, events.attrs, strict=True)) if attrs is not None and name in _MARKED]
+    at = -1
+    while (at := at + 1) < len(events.text):
+        text, name, attrs = events.text[at], events.name[at], events.attrs[at]
+        if text is not None:
+            held.append(text)
             continue
-        name, closing = name.lower(), bool(m["end"])
-        if skip:
-            if name in ("article", "main") and not closing and skip != "article" and not articles and unclosed is None:
-                rest = page[m.end() :].lower()
-                unclosed = rest.count(f"</{skip}") - rest.count(f"<{skip}") < depth
-            if unclosed and name in ("article", "main") and not closing:
-                skip = ""
-            else:
-                if name == skip:
-                    depth += -1 if closing else 0 if m["attrs"].endswith("/") else 1
-                    if depth == 0:
-                        skip = ""
-                continue
-        attrs = m["attrs"]
-        if not closing and name not in _VOID:
+        if attrs is not None and name not in _VOID:
             plain = articles and name == "header"  # an article's own header holds its title
-            if not plain and (_boilerplate(name, attrs) or name == "article" and "=" in attrs and any(k.lower() in ("class", "id") and _NAMES.search(v.strip("\"'")) for k, v in _ATTR.findall(attrs))):
+            if not plain and (_boilerplate(name, attrs) or name == "article" and _named(attrs)):
                 end_block()
-                if not attrs.endswith("/"):
-                    skip, depth, unclosed = name, 1, None
+                if at in events.end:
+                    end = events.end[at]
+                    if at not in events.own and name != "article" and not articles:  # its end tag is missing: an article ends it
+                        k = bisect_right(begun, at)
+                        end = min(end, begun[k]) if k < len(begun) else end
+                    at = end - 1
                 continue
         if name in _BLOCK:
             end_block()
         elif name in ("br", "td", "th"):
             held.append(" ")
-        if name in ("article", "main"):
-            articles = max(0, articles - 1) if closing else articles + 1
+        if name in _MARKED:
+            articles = max(0, articles - 1) if attrs is None else articles + 1
     end_block()
     return (inside[1], True) if inside[1] else (inside[0], False)
 

@@ -24,6 +24,18 @@ def test_main_text():
     assert main_text("<div>" * 3000 + "deep") == "deep" and tree("<div>" * 3000 + "deep")["n"] == 1
 
 
+def test_elements_left_out_end_where_html_closes_them():
+    assert main_text('<article><p>One<p class="notice">Ad<p>Two<p>Three</article>') == "One\nTwo\nThree"
+    assert main_text('<article><p>One<p class="ad">Ad <b>x</b><div>Two</div></article>') == "One\nTwo"
+    assert main_text('<article><ul><li>1<li class="ad">Ad<ul><li>deep</ul><li>2</ul>After</article>') == "1\n2\nAfter"
+    assert main_text('<article><ul><li>1<li class="ad">Ad</ul><p>After</article><p>out') == "1\nAfter"
+    assert main_text('<article><dl><dt>a<dd class="ad">Ad<dt>b<dd>c</dl>d</article>') == "a\nb\nc\nd"
+    assert main_text('<article><table><tr><td>1<td class="ad">Ad<table><tr><td>x</table>y<td>2<tr class="ad"><td>z<tr><td>3</table>After</article>') == "1\n2\n3\nAfter"
+    assert main_text('<article><b>One<div class="ad">Ad</b> still</div>Two</article>') == "One\nTwo"
+    assert main_text('<div><article><p>One</div><p>Two</article></div>') == "One\nTwo"
+    assert main_text("<nav>menu<article><p>kept</article>") == "kept"
+
+
 def page(items, extra="", note="Terms apply"):
     return f"<html><body><div><p>{note}</p></div><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul>{extra}<div class='b'><p>{items[0]} body</p></div></body></html>"
 
