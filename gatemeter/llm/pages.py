@@ -13,7 +13,10 @@ and partition. Texts that stay constant over most pages of a host are its templa
 
 *Extraction.* Elements that hold no main text (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by name, role, class or id) are
-left out. If a page has an article (or main) element, its text is what stands in it;
+left out. A class or id counts as a whole name: all its parts must be of the lists below, so
+``has-sidebar`` or ``related-work`` say nothing, and a head in an article is its own. An
+element isn't left out by class or id if it holds the page's only articles or more than half
+of its text; reader comments only if there is no other text. If a page has an article (or main) element, its text is what stands in it;
 else it is what is left of the body without the host's template texts. Character
 references are decoded, white space inside a block becomes one space, blocks are joined by
 a newline. Nothing is capped.
@@ -31,7 +34,7 @@ import html
 import json
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -52,11 +55,18 @@ _BLOCK = frozenset(
 )
 _LEFT_OUT = frozenset("nav header footer aside form button select option dialog menu head object audio video canvas fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall"
-    r"|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|masthead|topbar|footer|related|recommend\w*|share|sharing|social|comments?|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: parts of a class or id that name what is no main text; the other parts of the name must be of _BESIDE
+_COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+_HEADS = frozenset(("header", "masthead"))
+_NAMES = _COMMENTS | _HEADS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial adsense banner banners sponsor sponsors sponsored sponsorship promo promos promotion promotions promotional cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall nav navs navbar navigation navmenu navlinks menu menus menubar breadcrumb breadcrumbs sidebar side topbar footer related recommended recommend recommendation recommendations recommends share sharing social widget toolbar pagination pager skip".split()
+)
+_BESIDE = frozenset(
+    "site page main global top bottom left right upper lower primary secondary first second container wrapper wrap box block area region section list item items link links button buttons bar bars inner outer panel column col row group holder slot unit zone label title text form icon icons media posts articles stories sticky fixed floating mobile desktop dark light active open google the js id default".split()
+)
+#: what an article's parts are called after; with a head, its own title
+_OWN = frozenset("post entry article story blog".split())
+_PART = re.compile(r"[-_]+")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _SPACE = re.compile(r"\s+")
 #: an opening tag closes an open one of these names first
@@ -66,6 +76,7 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _CELLS = frozenset("td th tr tbody thead tfoot".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)} | dict.fromkeys(("tbody", "thead", "tfoot"), (*_CELLS, "caption"))
 _MARKED = frozenset(("article", "main"))
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: end tags that reach through an open article
 _WHOLE = frozenset(("article", "main", "body", "html"))
 #: an end tag reaches no further up: of a cell or row, of another block, of an inline element
@@ -75,17 +86,33 @@ _LIST_STOPS = _STOPS - {"address", "div", "p"}
 _SCOPES = dict.fromkeys(_CELLS, frozenset(("table",))) | {"table": frozenset(), "li": _CELL_STOPS | {"ul", "ol"}} | dict.fromkeys(_WHOLE, frozenset())
 
 
-def _named(attrs: str) -> bool:
-    return "=" in attrs and any(k.lower() in ("class", "id") and _NAMES.search(v.strip("\"'")) for k, v in _ATTR.findall(attrs))
+def _named(name: str, attrs: str, articles: int = 0) -> str:
+    """What a class or id says that the element is: "comments" or "other" (no main text), or "" (nothing)."""
+    said = ""
+    if "=" in attrs and name not in ("html", "body", "main"):
+        for key, value in _ATTR.findall(attrs):
+            if key.lower() in ("class", "id"):
+                for whole in value.strip("\"'").lower().split():
+                    parts = [x for x in _PART.split(whole) if x and not x.isdigit()]
+                    hits = _NAMES.intersection(parts)
+                    if not hits or any(x not in _NAMES and x not in _BESIDE and x not in _OWN for x in parts):
+                        continue
+                    if hits <= _HEADS and (articles or name in _TITLES or not _OWN.isdisjoint(parts)):
+                        continue
+                    if hits.isdisjoint(_COMMENTS):
+                        return "other"
+                    said = "comments"
+    return said
 
 
 def _boilerplate(name: str, attrs: str) -> bool:
+    """Whether an element is left out by its name, role or attributes."""
     if name in _LEFT_OUT:
         return True
     if "=" in attrs and name not in ("html", "body", "article", "main"):
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
-            if key in ("class", "id") and _NAMES.search(value) or key == "role" and value.lower() in _ROLES or key == "aria-hidden" and value == "true":
+            if key == "role" and value.lower() in _ROLES or key == "aria-hidden" and value == "true":
                 return True
     return "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) is not None
 
@@ -168,26 +195,80 @@ class _Events:
                 cut(keep, at, False)
             self.add(None, name, attrs)
             if name not in _VOID and not attrs.endswith("/"):
-                if read is None and (_boilerplate(name, attrs) or name == "article" and _named(attrs)):
+                if read is None and (_boilerplate(name, attrs) or _named(name, attrs)):
                     read = len(names)
                 names.append(name)
                 starts.append(at)
                 counts[name] = counts.get(name, 0) + 1
         cut(0, len(self.text), False)
 
+        self.begun = [i for i, (name, attrs) in enumerate(zip(self.name, self.attrs, strict=True)) if attrs is not None and name in _MARKED]
+
+    def past(self, at: int, articles: int) -> int:
+        """The first event after an element left out; if its end tag is missing, an article ends it."""
+        end = self.end[at]
+        if at not in self.own and self.name[at] != "article" and not articles:
+            k = bisect_right(self.begun, at)
+            end = min(end, self.begun[k]) if k < len(self.begun) else end
+        return end
+
     def add(self, text: str | None, name: str, attrs: str | None) -> None:
         self.text.append(text)
         self.name.append(name)
         self.attrs.append(attrs)
 
 
+class _Weights:
+    """Characters of a page outside of what names and roles leave out, and where its articles begin."""
+
+    def __init__(self, events: _Events):
+        self.upto = [0]  # characters before each event
+        self.begun: list[int] = []  # articles and mains that may be read
+        self.depths: list[int] = []  # how many named elements each of them stands in
+        self.named: dict[int, int] = {}  # the same of elements whose class or id says no main text, themselves counted
+        ends: list[int] = []
+        articles, at = 0, -1
+        while (at := at + 1) < len(events.text):
+            text, name, attrs = events.text[at], events.name[at], events.attrs[at]
+            self.upto.append(self.upto[-1] + (len(text.strip()) if text else 0))
+            if text is not None:
+                continue
+            if attrs is not None and at in events.end and not (articles and name == "header"):
+                if _boilerplate(name, attrs):
+                    end = events.past(at, articles)
+                    self.upto += [self.upto[-1]] * (end - at - 1)
+                    at = end - 1
+                    continue
+                while ends and ends[-1] <= at:
+                    ends.pop()
+                if _named(name, attrs, articles):
+                    ends.append(events.end[at])
+                    self.named[at] = len(ends)
+            if name in _MARKED:
+                if attrs is not None:
+                    self.begun.append(at)
+                    self.depths.append(len(ends))
+                articles = max(0, articles - 1) if attrs is None else articles + 1
+
+    def chars(self, start: int, end: int) -> int:
+        return self.upto[end] - self.upto[start]
+
+    def least(self, start: int, end: int) -> int | None:
+        """The least depth of the articles that begin there."""
+        return min(self.depths[bisect_left(self.begun, start) : bisect_left(self.begun, end)], default=None)
+
+
 def blocks(page: str) -> tuple[list[str], bool]:
     """(texts of the blocks in page order, whether they stand in an article or main)."""
     inside: list[list[str]] = [[], []]  # of the body, of articles
     held: list[str] = []
-    articles = 0
+    articles = beside = at = 0
+    spared = None  # the end of a named element that is read as it holds the articles or most of the text
+    weights: _Weights | None = None
+    plain = sure = False  # whether an article stands outside of named elements left out, and of all
 
     def end_block() -> None:
+        nonlocal beside
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
@@ -195,26 +276,44 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 inside[0].append(text)
                 if articles:
                     inside[1].append(text)
+                if spared is None or at > spared:
+                    beside += len(text)
+
+    def left_out(kind: str) -> bool:
+        """Whether the named element that begins here is left out; else its articles count as the page's."""
+        nonlocal weights, plain, sure, spared
+        if weights is None:
+            weights = _Weights(events)
+            plain = sure = weights.least(0, len(events.text)) == 0
+        end = events.end.get(at, at + 1)
+        own, whole = weights.chars(at, end), weights.upto[-1]
+        least = None if plain or articles else weights.least(at, end)
+        if kind == "comments":
+            kept = own == whole > 0
+        elif plain and not articles:
+            kept = False
+        else:
+            kept = least is not None or 2 * own > whole
+        if kept and not articles and (spared is None or at >= spared):
+            spared = end
+        plain = plain or kept and least == weights.named.get(at, 0)
+        return not kept
 
     events = _Events(page)
-    begun = [i for i, (name, attrs) in enumerate(zip(events.name, events.attrs, strict=True)) if attrs is not None and name in _MARKED]
     at = -1
     while (at := at + 1) < len(events.text):
         text, name, attrs = events.text[at], events.name[at], events.attrs[at]
         if text is not None:
             held.append(text)
             continue
-        if attrs is not None and name not in _VOID:
-            plain = articles and name == "header"  # an article's own header holds its title
-            if not plain and (_boilerplate(name, attrs) or name == "article" and _named(attrs)):
+        if attrs is not None and name not in _VOID and not (articles and name == "header"):  # an article's own header holds its title
+            kind = "" if (gone := _boilerplate(name, attrs)) else _named(name, attrs, articles)
+            if gone or kind:
                 end_block()
-                if at in events.end:
-                    end = events.end[at]
-                    if at not in events.own and name != "article" and not articles:  # its end tag is missing: an article ends it
-                        k = bisect_right(begun, at)
-                        end = min(end, begun[k]) if k < len(begun) else end
-                    at = end - 1
-                continue
+                past = events.past(at, articles) if at in events.end else at + 1
+                if gone or past < events.end.get(at, past) or left_out(kind):
+                    at = past - 1
+                    continue
         if name in _BLOCK:
             end_block()
         elif name in ("br", "td", "th"):
@@ -222,7 +321,8 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if name in _MARKED:
             articles = max(0, articles - 1) if attrs is None else articles + 1
     end_block()
-    return (inside[1], True) if inside[1] else (inside[0], False)
+    marked = bool(inside[1]) and (spared is None or sure or sum(map(len, inside[1])) >= beside)
+    return (inside[1], True) if marked else (inside[0], False)
 
 
 # A wrapper: {"n": pages, "c": [node]}; a node is [key, pages, repeated, children] or ["#", pages, text or None].

@@ -31,11 +31,25 @@ def test_elements_left_out_end_where_html_closes_them():
     assert main_text('<article><ul><li>1<li class="ad">Ad</ul><p>After</article><p>out') == "1\nAfter"
     assert main_text('<article><dl><dt>a<dd class="ad">Ad<dt>b<dd>c</dl>d</article>') == "a\nb\nc\nd"
     assert main_text('<article><table><tr><td>1<td class="ad">Ad<table><tr><td>x</table>y<td>2<tr class="ad"><td>z<tr><td>3</table>After</article>') == "1\n2\n3\nAfter"
-    assert main_text('<article><b>One<div class="ad">Ad</b> still</div>Two</article>') == "One\nTwo"
+    assert main_text('<article><b>One two three<div class="ad">Ad</b> still</div>Two</article>') == "One two three\nTwo"
     assert main_text('<div><article><p>One</div><p>Two</article></div>') == "One\nTwo"
     assert main_text("<nav>menu<article><p>kept</article>") == "kept"
 
 
+def test_classes_leave_out_no_article_and_count_as_whole_names():
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments", "side", "header", "share", "related"):
+        assert main_text(f'<div class="{name}"><p>x</p><article><h1>T</h1><p>Text</article></div><p>out') == "T\nText", name
+        assert main_text(f'<div class="{name}"><main><h1>T</h1><p>Text</main></div>') == "T\nText", name
+    inner = '<h1 class="entry-header">T</h1><div class="post-header">By</div><div class="header">H</div><section id="related-work"><p>Work</section>'
+    assert main_text(f"<article>{inner}<p>Text</article>") == "T\nBy\nH\nWork\nText"
+    for name in ("ad", "site-footer", "cookie-banner", "related-posts", "comment-list", "post-comments", "nav-menu", "share_buttons", "Sidebar__inner", "ad-slot-3"):
+        assert main_text(f'<p>Main text of the page<div class="{name}">gone</div>') == "Main text of the page", name
+    assert main_text('<div class="share">' + "<p>long text" * 9 + "</div><p>end") == "\n".join(["long text"] * 9 + ["end"])
+    assert main_text('<p>Main<div id="comments"><p>' + "said " * 50 + "</div>") == "Main"
+    assert main_text('<div><p>Main text, unmarked</div><div class="related"><article>tease</article></div>') == "Main text, unmarked\ntease"
+    assert main_text('<div class="side"><div class="related"><article>tease</article></div><article>Main</article></div>') == "Main"
+
+
 def page(items, extra="", note="Terms apply"):
     return f"<html><body><div><p>{note}</p></div><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul>{extra}<div class='b'><p>{items[0]} body</p></div></body></html>"
 
