@@ -1,7 +1,9 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
 A text is brought to canonical form: lower case, typographic quotes and dashes as plain
-ones, equivalent spellings as one, lines that state a copyright dropped, everything that is
+ones, equivalent spellings as one, lines that state a copyright dropped (``copyright`` with
+a sign, a year or ``by``, or a holder's line that begins the text or a paragraph; a copyright
+notice, holder, owner or license is of the terms wherever lines break), everything that is
 no letter or digit as one space. The SHA-256 of the canonical text is looked up among the
 digests of known licence texts by an equi-join. The whole text must be the licence;
 a licence within a longer text isn't a match.
@@ -28,14 +30,28 @@ SPELLINGS = (
     ("per cent", "percent"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("http", "https"),
 )
 _QUOTES = ("‘’‚‛“”„«»‐‑‒–—", "''''\"\"\"\"\"-----")
-#: A line that begins with a copyright statement or is an all-rights-reserved line.
-_COPYRIGHT = r"(?m)^[ \t*#/;-]*(?:copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$"
+_GAP = r"[ \t\n*#/;-]"
+#: (pattern, replacement) in order; what is replaced by a space are statements, not terms, however the lines are broken.
+_STATEMENTS = (
+    (rf"all{_GAP}+rights{_GAP}+reserved\b\.?", " "),
+    # words of the terms, set aside
+    (rf"copyright({_GAP}+(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|disclaimers?|protection|and|or|in|on|to|of|is|may|must|shall)\b)", r"copyxright\1"),
+    # lines of a holder: at the head of the text or of a paragraph
+    (r"(\A|\n[ \t]*\n)(?:[ \t*#/;-]*copyright\b[^\n]*(?:\n|\z))+", r"\1 "),
+    (r"\A[ \t\n*#/;-]*\(c\)[^\n]*", " "),
+    (r"(\n[ \t]*\n)[ \t*#/;-]*\(c\)[^\n]{1,80}(\n[ \t]*(?:\n|\z))", r"\1\2"),
+    # a year, a sign or "by", on any line
+    (r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|:|by\b|[0-9]{4})|\(c\)[ \t]*(?:copyright\b|[0-9]{4})|©)[^\n]*$", " "),
+    ("copyxright", "copyright"),
+)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; one space between words, none at the ends."""
     c = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_QUOTES)
-    c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), _COPYRIGHT, " ")
+    c = F.regexp_replace(c, "\r\n?", "\n")
+    for pattern, by in _STATEMENTS:
+        c = F.regexp_replace(c, pattern, by.replace("\\", "$"))
     c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -93,7 +109,9 @@ def query(docs: DataFrame) -> DataFrame:
 def _sql_digest(text: str) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     c = f"translate(lower(coalesce({text}, '')), {quote(_QUOTES[0])}, {quote(_QUOTES[1])})"
-    c = f"regexp_replace(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), '{_COPYRIGHT}', ' ', 'g')"
+    c = f"regexp_replace({c}, '\\r\\n?', chr(10), 'g')"
+    for pattern, by in _STATEMENTS:
+        c = f"regexp_replace({c}, '{pattern}', {quote(by)}, 'g')"
     c = f"' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
     for a, b in SPELLINGS:
         c = f"replace({c}, ' {a} ', ' {b} ')"

@@ -1,3 +1,5 @@
+import textwrap
+
 from gatemeter.llm.licences import KNOWN, _ISC, digests, query, scan
 
 DDL = "doc_id bigint, text string"
@@ -19,6 +21,20 @@ def test_variants_of_one_licence_match(spark):
     assert by[10][0] == "MIT-notice" and by[12][0] == "ISC" and by[14][0] is None
 
 
+def test_line_breaks_do_not_matter(spark):
+    heads = ["", "Copyright (c) 2020 A B. All rights reserved.\n\n", "Copyright Joyent, Inc. and others\nCopyright Foo\n\n", "(c) A B\nAll rights reserved.\n\n", "/* (C) 1999 X */\n"]
+    rows, want = [], []
+    for name, text in [k for k in KNOWN if len(k[1]) < 3000]:
+        for width in (30, 41, 55, 60, 64, 70, 72, 76, 79, 80, 100):
+            body = "\n".join("\n".join(textwrap.wrap(line, width)) for line in text.split("\n"))
+            rows += [(len(rows) + i, head + body) for i, head in enumerate(heads)]
+            want += [name] * len(heads)
+    rows += [(len(rows), "terms\n\n(c) You must retain the notices of the work in all copies that you make or\ngive away; all"), (len(rows) + 1, "terms\n\n(c) You must retain the notices of the work\nin all copies that you make or give away; all")]
+    got = {r["doc_id"]: r for r in query(spark.createDataFrame(rows, DDL)).collect()}
+    assert [got[i]["licence"] for i in range(len(want))] == want
+    assert got[len(want)]["digest"] == got[len(want) + 1]["digest"]
+
+
 def test_own_table_and_ties(spark):
     own = digests(spark.createDataFrame([("b", "Some terms."), ("a", "some TERMS"), ("c", None)], "licence string, text string"))
     docs = spark.createDataFrame([(1, "some terms", "x")], DDL + ", licence string")
