@@ -8,8 +8,8 @@ no letter or digit as one space. The SHA-256 of the canonical text is looked up
 digests of known licence texts by an equi-join. The whole text must be the licence;
 a licence within a longer text isn't a match.
 
-The known digests are a table of any size: the built-in one holds a few short licences and
-notices, ``digests`` makes rows of any (licence, text) table. The join is left to the
+The known digests are a table of any size: the built-in one holds short licences and
+notices and the whole texts in ``licence_texts``, ``digests`` makes rows of any (licence, text) table. The join is left to the
 planner, which broadcasts the digests only while their size allows.
 
 Defined results: a null, empty or all-copyright text has a null digest and no licence;
@@ -20,6 +20,9 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: (from, to) in order, after lower-casing; whole words only.
@@ -76,11 +79,30 @@ Permission is granted to anyone to use this software for any purpose, including
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def _whole_texts() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of the whole licences in licence_texts, in the forms that are about."""
+    out = []
+    for file in sorted(files("gatemeter.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        forms = [text]
+        if end := re.search(r"END OF TERMS AND CONDITIONS", text):  # without how to apply it
+            forms += [text[: end.start()], text[: end.end()]]
+        if name.startswith("BSD"):
+            places = iter(range(1, 4))
+            forms.append(re.sub(r"(?m)^ *\*", lambda m: f"{next(places)}.", text))
+            forms += [f"{title}\n\n{x}" for title in (f"BSD {name[4]}-Clause License", f"The BSD {name[4]}-Clause License") for x in forms]
+        out += [(name, x) for x in forms]
+    return tuple(out)
+
+
 KNOWN = (
     ("0BSD", _ISC.format("")), ("Apache-2.0-notice", _APACHE), ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."), ("GPL-2.0-notice", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."), ("ISC", _ISC.format(", provided that the above copyright notice and this permission notice appear in all copies")),
     ("MIT", _MIT.format(_MIT_NOTICE)), ("MIT", "MIT License\n" + _MIT.format(_MIT_NOTICE)), ("MIT-0", _MIT[: _MIT.index(", subject to")] + ".\n" + _MIT[_MIT.index("THE SOFTWARE IS") :]),
     ("MIT-notice", "Released under the MIT License."), ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."), ("Zlib", _ZLIB),
+    *_whole_texts(),
 )
 
 

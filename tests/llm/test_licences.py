@@ -1,4 +1,5 @@
 import textwrap
+from importlib.resources import files
 
 from gatemeter.llm.licences import KNOWN, _ISC, digests, query, scan
 
@@ -35,6 +36,20 @@ def test_line_breaks_do_not_matter(spark):
     assert got[len(want)]["digest"] == got[len(want) + 1]["digest"]
 
 
+def test_whole_licences_match(spark):
+    folder = files("gatemeter.llm").joinpath("licence_texts")
+    texts = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in folder.iterdir()}
+    assert texts.keys() >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"}
+    rows = [(n, t) for n, t in texts.items()] + [(n, t.replace("\n", "\r\n").replace("  ", " ")) for n, t in texts.items()]
+    bsd = texts["BSD-3-Clause"]
+    for k in "123":
+        bsd = bsd.replace("    * ", f"{k}. ", 1)
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2024, A B\nAll rights reserved.\n\n" + bsd), ("BSD-2-Clause", "Copyright 2001 A\n\n" + texts["BSD-2-Clause"])]
+    rows += [("Apache-2.0", texts["Apache-2.0"].split("   APPENDIX")[0]), ("GPL-2.0", texts["GPL-2.0"].split("How to Apply These Terms to Your")[0].rpartition("END OF")[0])]
+    got = {r["doc_id"]: r["licence"] for r in query(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], DDL)).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
 def test_own_table_and_ties(spark):
     own = digests(spark.createDataFrame([("b", "Some terms."), ("a", "some TERMS"), ("c", None)], "licence string, text string"))
     docs = spark.createDataFrame([(1, "some terms", "x")], DDL + ", licence string")
