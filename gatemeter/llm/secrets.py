@@ -6,10 +6,11 @@ run of 24 or more lower-case hex digits. Spans are code-point ranges of the whol
 
 The field tags tokens as outside, begin or inside of a secret, from their shape, their
 neighbours and features of the whole text, and adds its spans (*crf*) where they meet no
-base span. Only tokens of *odd* words may be tagged begin or inside: words with a digit, a
-change from lower to upper case, or 24 bytes and more. All other tokens are outside by
-rule, and features look at most four tokens back and one ahead, so decoding the stretches
-around odd words gives just what decoding the whole text gives. Words are classified for
+base span. Only tokens of *odd* words may be tagged begin or inside (words with a digit, a
+change from lower to upper case, or 24 bytes and more), and *hinted* tokens: at most four
+tokens after a hint word, with an assignment mark or a quote between. All other tokens are
+outside by rule, and features look at most four tokens back and one ahead, so decoding the
+stretches around these words gives just what decoding the whole text gives. Words are classified for
 whole slices by numpy; weights are trained by ``train_secrets`` on made-up lines.
 
 Nothing is shuffled. Defined results: null texts count as empty and have no spans; repeated
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -41,6 +43,9 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|=+|[^\s]")
 _HINTS = frozenset("password passwd pwd pass secret token key apikey api_key auth bearer credential credentials authorization access_key secret_key private_key client_secret".split())
+#: a hint word as a part of a token, up to the token's end
+_HINT = re.compile(r"(?<![A-Za-z0-9+/])(?:password|passwd|pwd|pass|secret|token|key|apikey|auth|bearer|credentials?|authorization)(?![A-Za-z0-9+/])[A-Za-z0-9+/_-]*", re.ASCII | re.IGNORECASE)
+_HINT_PARTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 _BACK, _AHEAD = 4, 1
 MIN_CHARS = 8
 
@@ -108,6 +113,25 @@ def features(tokens: list[str], whole: list[str]) -> list[list[str]]:
     return out
 
 
+def hinted(text: str) -> set[int]:
+    """Where the tokens begin that follow a hint word and an assignment mark or quote, a few tokens on."""
+    out: set[int] = set()
+    low = text.lower()  # only tells whether a hint may be there
+    if any(p in low for p in _HINT_PARTS):
+        for hint in _HINT.finditer(text):
+            marked, at = False, hint.end()
+            for _ in range(_BACK):
+                m = _TOKEN.search(text, at)
+                if not m:
+                    break
+                at = m.end()
+                if m[0][0] in "=:\"'`":
+                    marked = True
+                elif marked and m[0][0].isalnum():
+                    out.add(m.start())
+    return out
+
+
 def about(n_chars: int, n_equals: int, n_odd: int) -> list[str]:
     """Features of a whole text."""
     return [f"file_equals={min(3, round(1000 * n_equals / max(n_chars, 1)))}", f"file_odd={min(3, round(200 * n_odd / max(n_chars, 1)))}"]
@@ -118,9 +142,12 @@ def model() -> Crf:
     return Crf.load(files("gatemeter.llm").joinpath("secret_crf.json").read_text())
 
 
-def crf_spans(text: str, words: list[tuple[int, int]], odd: list[int], crf: Crf, whole: list[str]) -> list[tuple[int, int]]:
-    """Secrets of one text, given its words and which of them are odd."""
-    out, k = [], 0
+def crf_spans(text: str, words: list[tuple[int, int]], odd: list[int], crf: Crf, whole: list[str], after: set[int] | frozenset[int] = frozenset()) -> list[tuple[int, int]]:
+    """Secrets of one text, given its words, which of them are odd and where hinted tokens begin."""
+    out, k, strange = [], 0, set(odd)
+    if after:
+        starts = [a for a, _ in words]
+        odd = sorted(strange | {bisect_right(starts, x) - 1 for x in after})
     while k < len(odd):
         first = last = odd[k]
         k += 1
@@ -128,14 +155,13 @@ def crf_spans(text: str, words: list[tuple[int, int]], odd: list[int], crf: Crf,
             last = odd[k]
             k += 1
         lo, hi = max(0, first - _BACK), min(len(words), last + _AHEAD + 1)
-        inside = {i for i in odd if lo <= i < hi}
         tokens, spans, free = [], [], []
         for i in range(lo, hi):
             a, b = words[i]
             for m in _TOKEN.finditer(text, a, b):
                 tokens.append(m[0])
                 spans.append((m.start(), m.end()))
-                free.append(i in inside)
+                free.append(i in strange or m.start() in after)
         tags = crf.decode(features(tokens, whole), free)
         at = 0
         while at < len(tags):
@@ -182,10 +208,11 @@ def spans_of(texts: pa.Array, crf: Crf | None = None) -> list[list[tuple[int, st
         text = texts[r].as_py()
         found = base_spans(text, bool(long_runs[r]))
         mine = odd[row_first[r] : row_first[r + 1]]
-        if len(mine):
+        after = hinted(text)
+        if len(mine) or after:
             a, b, zero = word_first[r], word_first[r + 1], points[s.off[r]]
             words = list(zip((points[s.start[a:b]] - zero).tolist(), (points[s.end[a:b]] - zero).tolist(), strict=True))
-            for x, y in crf_spans(text, words, (mine - a).tolist(), crf, about(len(text), int(equals[r]), len(mine))):
+            for x, y in crf_spans(text, words, (mine - a).tolist(), crf, about(len(text), int(equals[r]), len(mine)), after):
                 if all(y <= f[0] or x >= f[2] for f in found if f[1] != "crf"):
                     found.append((x, "crf", y, x, y))
         found.sort(key=lambda f: (f[0], KINDS.index(f[1])))

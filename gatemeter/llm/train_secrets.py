@@ -8,7 +8,7 @@ import string
 from pathlib import Path
 
 from gatemeter.llm.crf import Crf
-from gatemeter.llm.secrets import _TOKEN, about, features
+from gatemeter.llm.secrets import _TOKEN, about, features, hinted
 
 _WORD = re.compile(r"\S+")
 _ODD = re.compile(r"\d|[a-z][A-Z]")
@@ -91,23 +91,36 @@ def line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
     return "".join(parts), spans
 
 
+def hinted_line(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """A text with a secret of letters of one case after a hint word, or with a plain word there."""
+    words = lambda lo, hi: " ".join(_word(r) for _ in range(r.randint(lo, hi)))
+    name = r.choice(["pwd", "pass", "auth", "key", "DB_PASS", "credential", "PWD", "bearer", "access_key", "credentials", "AUTH"])
+    before, after = r.choice([("=", ""), (": ", ""), (' = "', '"'), (": '", "'"), (":", ""), (" = ", "")])
+    head = f"{words(1, 8)} {name}{before}"
+    if r.random() < 0.5:
+        value = _pick(r, r.choice([string.ascii_lowercase, string.ascii_uppercase]), 10, 23)
+        return f"{head}{value}{after} {words(0, 6)}", [(len(head), len(head) + len(value))]
+    value = _word(r)
+    return f"{head}{r.choice([value, value.title(), value.upper()])}{after} {words(0, 6)}", []
+
+
 def example(text: str, spans: list[tuple[int, int]]) -> tuple[list[list[str]], list[bool], list[int]]:
-    tokens, free, tags, n_odd = [], [], [], 0
+    tokens, free, tags, n_odd, after = [], [], [], 0, hinted(text)
     for w in _WORD.finditer(text):
         odd = bool(_ODD.search(w[0])) or len(w[0].encode()) >= 24
         n_odd += odd
         for m in _TOKEN.finditer(text, w.start(), w.end()):
             inside = next(((a, b) for a, b in spans if a <= m.start() and m.end() <= b), None)
             tokens.append(m[0])
-            free.append(odd)
-            tags.append(0 if not inside or not odd else 1 if m.start() == inside[0] else 2)
+            free.append(odd or m.start() in after)
+            tags.append(0 if not inside or not free[-1] else 1 if m.start() == inside[0] else 2)
     return features(tokens, about(len(text), text.count("="), n_odd)), free, tags
 
 
-def trained(n: int = 1500, seed: int = 4, epochs: int = 6) -> Crf:
+def trained(n: int = 1500, seed: int = 4, epochs: int = 6, n_hinted: int = 500) -> Crf:
     r = random.Random(seed)
     crf = Crf()
-    crf.fit([example(*line(r)) for _ in range(n)], epochs=epochs)
+    crf.fit([example(*line(r)) for _ in range(n)] + [example(*hinted_line(r)) for _ in range(n_hinted)], epochs=epochs)
     return crf
 
 

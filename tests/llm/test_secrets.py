@@ -46,6 +46,19 @@ def test_method_adds_spans_and_leaves_plain_numbers():
     assert [f[1] for f in jwt] == ["crf"] and TEXTS[-2][jwt[0][0] : jwt[0][2]].startswith("eyJ") and not numbers
 
 
+def test_letters_of_one_case_after_a_hint():
+    for text, secret in (("the pwd: qzvxkwplmrtbhd end", "qzvxkwplmrtbhd"), ("auth = QZVXKWPLMRTBHD", "QZVXKWPLMRTBHD"), ("set DB_PASS='wkxqpzntvbhgfdsr' now", "wkxqpzntvbhgfdsr")):
+        assert [text[f[0] : f[2]] for f in spans_of(pa.array([text]))[0] if f[1] == "crf"] == [secret]
+    plain = ["key: considering", "the key = understanding of it", "auth: 'presenting' and", "qzvxkwplmrtbhd alone", "pass: through the mountains"]
+    assert spans_of(pa.array(plain)) == [[]] * len(plain)
+    r, right, extra, missed = random.Random(77), 0, 0, 0
+    for _ in range(300):
+        text, spans = train_secrets.hinted_line(r)
+        got = {(f[0], f[2]) for f in spans_of(pa.array([text]))[0]}
+        right, extra, missed = right + len(got & set(spans)), extra + len(got - set(spans)), missed + len(set(spans) - got)
+    assert right / (right + extra) > 0.9 and right / (right + missed) > 0.85, (right, extra, missed)
+
+
 def test_held_out_accuracy():
     r, right, extra, missed = random.Random(1234), 0, 0, 0
     for _ in range(300):
