@@ -5,8 +5,8 @@ is given a value of six characters or more; *access*, a key id of twenty or more
 run of 24 or more lower-case hex digits. Spans are code-point ranges of the whole match.
 
 The field tags tokens as outside, begin or inside of a secret, from their shape, their
-neighbours and features of the whole text, and adds its spans (*crf*) where they meet no
-base span. Only tokens of *odd* words may be tagged begin or inside (words with a digit, a
+neighbours and features of the whole text, and adds its spans (*crf*), without what base
+spans cover of them. Only tokens of *odd* words may be tagged begin or inside (words with a digit, a
 change from lower to upper case, or 24 bytes and more), and *hinted* tokens: at most four
 tokens after a hint word, with an assignment mark or a quote between. All other tokens are
 outside by rule, and features look at most four tokens back and one ahead, so decoding the
@@ -177,6 +177,16 @@ def crf_spans(text: str, words: list[tuple[int, int]], odd: list[int], crf: Crf,
     return out
 
 
+def beyond(start: int, end: int, base: list[tuple[int, str, int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that no base span covers."""
+    out = []
+    for a, b in sorted((f[0], f[2]) for f in base if f[0] < end and f[2] > start):
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def odd_words(s: Slice) -> np.ndarray:
     """Flags of the words whose tokens may be tagged as secrets."""
     d = s.data
@@ -206,15 +216,15 @@ def spans_of(texts: pa.Array, crf: Crf | None = None) -> list[list[tuple[int, st
             out.append([])
             continue
         text = texts[r].as_py()
-        found = base_spans(text, bool(long_runs[r]))
+        base = base_spans(text, bool(long_runs[r]))
+        found = list(base)
         mine = odd[row_first[r] : row_first[r + 1]]
         after = hinted(text)
         if len(mine) or after:
             a, b, zero = word_first[r], word_first[r + 1], points[s.off[r]]
             words = list(zip((points[s.start[a:b]] - zero).tolist(), (points[s.end[a:b]] - zero).tolist(), strict=True))
             for x, y in crf_spans(text, words, (mine - a).tolist(), crf, about(len(text), int(equals[r]), len(mine)), after):
-                if all(y <= f[0] or x >= f[2] for f in found if f[1] != "crf"):
-                    found.append((x, "crf", y, x, y))
+                found += [(p, "crf", q, p, q) for p, q in beyond(x, y, base)]
         found.sort(key=lambda f: (f[0], KINDS.index(f[1])))
         out.append(found)
     return out

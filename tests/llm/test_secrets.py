@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from gatemeter.llm import train_secrets
 from gatemeter.llm.crf import Crf
-from gatemeter.llm.secrets import KINDS, _TOKEN, about, features, model, query, redact, spans_of
+from gatemeter.llm.secrets import KINDS, _TOKEN, about, features, model, query, redact, redacted, spans_of
 
 DDL = "doc_id bigint, text string"
 HEX = "0123456789abcdef" * 2
@@ -59,6 +59,19 @@ def test_letters_of_one_case_after_a_hint():
     assert right / (right + extra) > 0.9 and right / (right + missed) > 0.85, (right, extra, missed)
 
 
+def test_parts_beyond_base_spans_are_kept():
+    class Whole:
+        def decode(self, tokens, free):
+            first = free.index(True)
+            return [0 if not f else 1 if i == first else 2 for i, f in enumerate(free)]
+
+    long = "Zx" + HEX + "Q7x" + HEX + "W"
+    a, b = spans_of(pa.array(["password: Xk9mQ2!vR7pLz4Tq8Wn3", long]), Whole())
+    assert [f[:3] for f in a] == [(0, "assign", 16), (16, "crf", 30)]
+    assert [f[:3] for f in b] == [(0, "crf", 2), (2, "hex", 34), (34, "crf", 37), (37, "hex", 69), (69, "crf", 70)]
+    assert redacted(long, b, "") == "" and redacted("password: Xk9mQ2!vR7pLz4Tq8Wn3", a, "") == "password: "
+
+
 def test_held_out_accuracy():
     r, right, extra, missed = random.Random(1234), 0, 0, 0
     for _ in range(300):
