@@ -325,9 +325,22 @@ def _sizes(rules: NearRules) -> Column:
 
 
 def dedup(docs: DataFrame, rules: NearRules = NearRules(words=5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one of least id, with all its columns; null ids stay."""
-    gone = linked(docs, rules, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
-    rest = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    """One document of each group, the one of least id, with all its columns; null ids stay.
+
+    Where ids repeat, an id with a text is a document: each is judged by its own text, the
+    order is by id and then by the text's digest, and of equal ids and texts the row of the
+    least hash over all columns stays.
+    """
+    ids = linked(docs, rules, id_col, text_col)
+    named = docs.where(F.col(id_col).isNotNull())
+    if ids.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = ids.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col))
+        rest = named.join(gone, id_col, "left_anti")
+    else:
+        key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+        both = named.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+        gone = linked(both.select("key", F.col(f"row.{text_col}").alias("text")), rules, "key", "text").where("NOT kept").select(F.col("doc_id").alias("key")).distinct()
+        rest = both.join(gone, "key", "left_anti").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return rest.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 

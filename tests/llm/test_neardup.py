@@ -81,6 +81,14 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert sorted(i for i in ids if i is not None) == sorted({*want.values()}) and ids.count(None) == 1
 
 
+def test_dedup_loses_no_clean_text_of_a_repeated_id(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, one, 1), (5, one + " more", 2), (5, two, 3), (5, two, 4), (7, two + " end", 5), (8, three, 6), (8, "", 7), (8, None, 7)]
+    made = [sorted(map(tuple, dedup(spark.createDataFrame(x, "doc_id bigint, text string, n int").repartition(3)).collect()), key=str) for x in (rows, rows[::-1])]
+    assert made[0] == made[1]
+    assert sorted((i, t or "") for i, t, _ in made[0]) == sorted([(3, one), (5, two), (8, three), (8, "")])
+
+
 def test_empty_table(spark):
     assert linked(spark.createDataFrame([], DDL)).count() == 0 and dedup(spark.createDataFrame([], DDL)).count() == 0
 
