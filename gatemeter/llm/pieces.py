@@ -13,7 +13,7 @@ that differ. Other models encode and compare whole texts.
 
 Nothing is shuffled. Defined results: a null text counts as empty and has no ids; repeated
 rows are encoded each on its own; an empty table gives an empty result; other columns are
-ignored. The chunk table of a worker starts again at a fixed size, so memory is bounded.
+ignored. A worker keeps two generations of chunks of a fixed size, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ from gatemeter.llm.wordbpe import vocabulary
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CACHE_CHUNKS = 300_000
+NEWLINE = "\n"
+#: Chunks that a worker keeps in each of two generations; those in use move to the younger one.
+CACHE_CHUNKS = 200_000
+#: Chunks that go through a library as one text.
+LEARN_CHUNKS = 2_048
 
 
 def wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -155,20 +160,33 @@ class Coder:
         ordinary = [p for p, k in zip(m.pieces, m.kinds, strict=True) if k in (NORMAL, USER, UNUSED)]
         self.chunked = not m.charsmap and not m.squeeze and m.dummy_prefix and USER not in m.kinds and not any(MARK in p.lstrip(MARK) or "\n" in p for p in ordinary)
         self.split = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
-        self.known: dict[str, tuple[bytes, int, int]] = {}
-        self.newline = len(self.other.encode("\n")) if self.chunked else 0
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
+        if self.chunked:
+            self.head = self.other.encode("\n")[:-1]  # what the word marker before the first newline gives
+            self.newline = self.other.encode("\n")[-1]
+            self.chunked = m.kinds[self.newline] == BYTE and self.plain.encode("\n", add_special_tokens=False).ids == [self.newline]
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
 
     def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 8192):
-            part = chunks[i : i + 8192]
-            for chunk, made in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                led = chunk[0] == MARK
-                theirs = self.other.encode(chunk[1:].replace(MARK, " ") if led and len(chunk) > 1 else "\n" + chunk.replace(MARK, " "))
-                if not led or len(chunk) == 1:
-                    theirs = theirs[self.newline :]
-                ids = made.ids
-                self.known[chunk] = (np.array(ids, "<u4").tobytes(), len(ids), int(ids != theirs))
+        """Ids of new chunks, and which of them the libraries encode differently.
+
+        A newline is a token of its own that joins with nothing, so a block of chunks goes
+        through each library as one text with newlines between, and is cut there again.
+        """
+        parts = [chunks[i : i + LEARN_CHUNKS] for i in range(0, len(chunks), LEARN_CHUNKS)]
+        made = self.plain.encode_batch_fast(["\n" + "\n".join(part) for part in parts], add_special_tokens=False)
+        for part, own in zip(parts, made, strict=True):
+            ids = np.array(own.ids, "<u4")
+            theirs = np.array(self.other.encode("\n" + "\n".join(part).replace(MARK, " "))[len(self.head) :], "<u4")
+            cuts = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+            said = ids.tobytes()
+            self.known.update(zip(part, [said[4 * a + 4 : 4 * b] for a, b in pairwise(cuts)], strict=True))
+            if not np.array_equal(ids, theirs):
+                ends = [*np.flatnonzero(theirs == self.newline).tolist(), len(theirs)]
+                said = theirs.tobytes()
+                self.wrong.update(c for c, (a, b) in zip(part, pairwise(ends), strict=True) if self.known[c] != said[4 * a + 4 : 4 * b])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
         """(ids as little-endian unsigned 32-bit integers, chunks where the libraries differ) of each text."""
@@ -179,15 +197,17 @@ class Coder:
                 out.append((np.array(ids, "<u4").tobytes(), int(ids != self.other.encode(text))))
             return out
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
+            self.older, self.known = self.known, {NEWLINE: self.known[NEWLINE]}
+            self.wrong &= self.older.keys()
+        if not self.known:
+            self.known[NEWLINE] = np.array([self.newline], "<u4").tobytes()
         split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self._learn(list({c for chunks in split for c in chunks} - self.known.keys()))
-        get = self.known.__getitem__
-        out = []
-        for chunks in split:
-            found = list(map(get, chunks))
-            out.append((b"".join([f[0] for f in found]), sum([f[2] for f in found])))
-        return out
+        new = set().union(*split) - self.known.keys()
+        met = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in met)
+        self._learn(list(new - met))
+        get, wrong = self.known.__getitem__, self.wrong
+        return [(b"".join(map(get, chunks)), sum(map(wrong.__contains__, chunks)) if wrong else 0) for chunks in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

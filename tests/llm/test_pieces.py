@@ -62,3 +62,25 @@ def test_query_and_decode(spark):
         assert by[i]["n_tokens"] == len(other.encode(t or "")) and by[i]["n_differ"] == 0 and by[i]["round_trip"] and by[i]["ids_crc32"] == zlib.crc32(by[i]["ids"])
     assert {r["doc_id"]: r["text"] for r in decode_documents(got).collect()} == {i: (t or "").replace("▁", " ") for i, t in rows}
     assert encode_documents(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_a_chunk_that_differs_is_counted_where_it_stands():
+    own = Coder(PATH)
+    real = own.other
+
+    class Other:
+        def encode(self, text):
+            ids = real.encode(text)
+            bad = real.encode("zebra")
+            return [x for i, x in enumerate(ids) if ids[i : i + len(bad)] != bad]
+
+    own.other = Other()
+    assert [d for _, d in own.encode(["a zebra and a zebra\nb", "no such", "zebra"])] == [2, 0, 1]
+
+
+def test_ids_stay_the_same_when_chunk_generations_change(own, monkeypatch):
+    monkeypatch.setattr("gatemeter.llm.pieces.CACHE_CHUNKS", 40)
+    small = Coder(PATH)
+    texts = [t or "" for t in made()]
+    got = [small.encode(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+    assert [x for part in got for x in part] == own.encode(texts) and len(small.known) < 300
