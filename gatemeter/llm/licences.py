@@ -1,7 +1,6 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
-A text is brought to canonical form: lower case, typographic quotes and dashes as plain
-ones, equivalent spellings as one, lines that state a copyright dropped (``copyright`` with
+A text is brought to canonical form: lower case, equivalent spellings as one, lines that state a copyright dropped (``copyright`` with
 a sign, a year or ``by``, or a holder's line that begins the text or a paragraph; a copyright
 notice, holder, owner or license is of the terms wherever lines break), everything that is
 no letter or digit as one space. The SHA-256 of the canonical text is looked up among the
@@ -21,7 +20,10 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 from importlib.resources import files
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,38 +34,58 @@ SPELLINGS = (
     ("noninfringement", "non infringement"), ("organisation", "organization"), ("recognise", "recognize"), ("utilise", "utilize"), ("wilful", "willful"), ("programme", "program"),
     ("per cent", "percent"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("http", "https"),
 )
-_QUOTES = ("‘’‚‛“”„«»‐‑‒–—", "''''\"\"\"\"\"-----")
-_GAP = r"[ \t\n*#/;-]"
+#: typographic dashes beside the plain one; other signs make no difference
+_DASHES = "‐‑‒–—-"
+_GAP = rf"[ \t\n*#/;{_DASHES}]"
+_LEAD = rf"[ \t*#/;{_DASHES}]*"
 #: (pattern, replacement) in order; what is replaced by a space are statements, not terms, however the lines are broken.
 _STATEMENTS = (
     (rf"all{_GAP}+rights{_GAP}+reserved\b\.?", " "),
     # words of the terms, set aside
     (rf"copyright({_GAP}+(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|disclaimers?|protection|and|or|in|on|to|of|is|may|must|shall)\b)", r"copyxright\1"),
     # lines of a holder: at the head of the text or of a paragraph
-    (r"(\A|\n[ \t]*\n)(?:[ \t*#/;-]*copyright\b[^\n]*(?:\n|\z))+", r"\1 "),
-    (r"\A[ \t\n*#/;-]*\(c\)[^\n]*", " "),
-    (r"(\n[ \t]*\n)[ \t*#/;-]*\(c\)[^\n]{1,80}(\n[ \t]*(?:\n|\z))", r"\1\2"),
+    (rf"(\A|\n[ \t]*\n)(?:{_LEAD}copyright\b[^\n]*(?:\n|\z))+", r"\1 "),
+    (rf"\A[ \t\n*#/;{_DASHES}]*\(c\)[^\n]*", " "),
+    (rf"(\n[ \t]*\n){_LEAD}\(c\)[^\n]{{1,80}}(\n[ \t]*(?:\n|\z))", r"\1\2"),
     # a year, a sign or "by", on any line
-    (r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|:|by\b|[0-9]{4})|\(c\)[ \t]*(?:copyright\b|[0-9]{4})|©)[^\n]*$", " "),
+    (rf"(?m)^{_LEAD}(?:copyright[ \t]*(?:\(c\)|©|:|by\b|[0-9]{{4}})|\(c\)[ \t]*(?:copyright\b|[0-9]{{4}})|©)[^\n]*$", " "),
     ("copyxright", "copyright"),
 )
+#: one of these stands in any text that the patterns above change
+_TOLD = ("copyright", "(c)", "©", "reserved")
+_OTHER = r"[^a-z0-9\p{L}\p{N}]+"
+_RESPELT = " (?:" + "|".join(a for a, _ in SPELLINGS) + ") "
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; one space between words, none at the ends."""
-    c = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_QUOTES)
-    c = F.regexp_replace(c, "\r\n?", "\n")
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), where the value is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
+def _unstated(c: Column) -> Column:
+    """Without lines that state a copyright."""
+    out = F.regexp_replace(c, "\r\n?", "\n")
     for pattern, by in _STATEMENTS:
-        c = F.regexp_replace(c, pattern, by.replace("\\", "$"))
-    c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+        out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
+    return F.when(reduce(or_, [F.contains(c, F.lit(x)) for x in _TOLD]), out).otherwise(c)
+
+
+def _spelt(c: Column) -> Column:
+    """With one spelling of each word; words stand between single blanks."""
+    out = c
     for a, b in SPELLINGS:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(c, " +", " "))
+        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.trim(F.when(c.rlike(_RESPELT), out).otherwise(c))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form; one space between words, none at the ends."""
+    stated = _with(F.lower(F.coalesce(text, F.lit(""))), _unstated)
+    return _with(F.concat(F.lit(" "), F.regexp_replace(stated, _OTHER, " "), F.lit(" ")), _spelt)
 
 
 def digest(text: Column) -> Column:
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+    return _with(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -130,15 +152,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 def _sql_digest(text: str) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    c = f"translate(lower(coalesce({text}, '')), {quote(_QUOTES[0])}, {quote(_QUOTES[1])})"
-    c = f"regexp_replace({c}, '\\r\\n?', chr(10), 'g')"
+    c = f"regexp_replace(lower(coalesce({text}, '')), '\\r\\n?', chr(10), 'g')"
     for pattern, by in _STATEMENTS:
         c = f"regexp_replace({c}, '{pattern}', {quote(by)}, 'g')"
-    c = f"' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    c = f"' ' || regexp_replace({c}, '{_OTHER}', ' ', 'g') || ' '"
     for a, b in SPELLINGS:
         c = f"replace({c}, ' {a} ', ' {b} ')"
-    c = f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
-    return f"sha256(nullif({c}, ''))"
+    return f"sha256(nullif(trim({c}), ''))"
 
 
 ORACLE = (
