@@ -6,10 +6,10 @@ sets, two counters to a 64-bit sum; a bit of the fingerprint is set if more than
 the weight sets it. Equal texts have equal fingerprints; likeness is the share of equal
 bits, about 1 - angle / pi of the term vectors, so unrelated texts are near 0.5.
 
-``near_pairs`` finds all distinct fingerprints within a Hamming radius by block tables:
+``near`` finds all distinct fingerprints within a Hamming radius by permuted block tables:
 with the bits in `radius + spare` blocks, two fingerprints in reach agree in `spare` blocks
 at least, so one table for each choice of `spare` blocks, keyed by those, holds every pair.
-Equal fingerprints stand once, with their documents in a membership table.
+Equal fingerprints stand once; ``near_pairs`` gives their documents in a membership table.
 
 Defined results: null texts count as empty; a text without words has the zero fingerprint;
 documents follow one another by id (null first), then text; the last is followed by the
@@ -23,8 +23,14 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gatemeter.llm.shared import Scratch
+
 BITS = 128
 WORDS = 5
+#: Bits in which a fingerprint may differ from those that the query counts as near.
+RADIUS = 3
+#: Fingerprints of one block key that are held against its queries at once.
+BLOCK_ROWS = 2_000
 _LANES = "4294967297"  # 1 in each 32-bit half: counters hold 2**32 - 1 terms
 
 
@@ -64,34 +70,50 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return 1 - distance(a, b) / F.lit(float(BITS))
 
 
-def near_pairs(prints: DataFrame, radius: int = 6, spare: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(pairs of distinct fingerprints with their distance, membership) of doc_id, hi, lo.
+def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, spare: int = 2, only: str = "true", most: int = BLOCK_ROWS) -> DataFrame:
+    """(hi, lo, hi2, lo2, distance): of each fingerprint in queries, all of prints within the radius, itself included.
 
-    Every pair within the radius is found. A fingerprint is named by its hex digits.
+    Both are tables of hi, lo; equal fingerprints count once. A pair is given by the first
+    table that holds it. A key with many fingerprints is cut into parts of about `most` of
+    them, and its queries go to each part, so no task holds a whole key. `only` is a further
+    condition on the pairs.
     """
     if not 0 <= radius < BITS or spare < 1 or radius + spare > BITS:
         raise ValueError("radius and spare blocks don't fit the fingerprint")
-    members = prints.select("doc_id", shown("hi", "lo").alias("fingerprint"))
-    own = prints.select("hi", "lo").distinct()
     blocks = radius + spare
     edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
-
-    def block(a: int, b: int) -> str:
-        parts = []
-        for word, lo, hi in (("lo", max(a, 0), min(b, 64)), ("hi", max(a, 64) - 64, min(b, 128) - 64)):
-            if hi > lo:
-                mask = (1 << (hi - lo)) - 1
-                parts.append(word if hi - lo == 64 else f"(shiftrightunsigned({word}, {lo}) & {mask}L)")
-        return ", ".join(parts)
-
-    tables = [f"struct({i} AS t, xxhash64({', '.join(block(edges[k], edges[k + 1]) for k in chosen)}) AS key)" for i, chosen in enumerate(combinations(range(blocks), spare))]
-    keyed = own.select("hi", "lo", F.explode(F.array(*map(F.expr, tables))).alias("e")).select("hi", "lo", "e.t", "e.key")
-    other = keyed.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("t").alias("t2"), F.col("key").alias("key2"))
+    chosen = list(combinations(range(blocks), spare))
+
+    def masks(own: tuple[int, ...]) -> tuple[str, str]:
+        bits = sum((1 << edges[k + 1]) - (1 << edges[k]) for k in own)
+        signed = lambda x: str(x - (1 << 64) if x >> 63 else x)
+        return tuple("(-9223372036854775807L - 1L)" if x == 1 << 63 else signed(x) + "L" for x in (bits >> 64, bits & ((1 << 64) - 1)))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        tables = [f"struct({t} AS t, hi & {m[0]} AS kh, lo & {m[1]} AS kl)" for t, m in enumerate(map(masks, chosen))]
+        return rows.select("hi", "lo").distinct().select("hi", "lo", F.explode(F.array(*map(F.expr, tables))).alias("e")).select("hi", "lo", "e.*")
+
+    key = ["t", "kh", "kl"]
+    held = keyed(prints)
+    parts = held.groupBy(*key).count().where(F.col("count") > most).select(*key, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    left = keyed(queries).join(parts, key, "left").select(*key, "hi", "lo", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    right = held.join(parts, key, "left").select(*key, F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.pmod(F.xxhash64("hi", "lo"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    first = " ".join(f"WHEN ((hi ^ hi2) & {h}) = 0 AND ((lo ^ lo2) & {v}) = 0 THEN {t}" for t, (h, v) in enumerate(map(masks, chosen)))
     apart = distance(("hi", "lo"), ("hi2", "lo2"))
-    ordered = F.expr("hi < hi2 OR (hi = hi2 AND lo < lo2)")
-    met = keyed.join(other, (F.col("t") == F.col("t2")) & (F.col("key") == F.col("key2")) & ordered & (apart <= radius))
-    pairs = met.select(shown("hi", "lo").alias("a"), shown("hi2", "lo2").alias("b"), apart.alias("distance")).distinct()
-    return pairs, members
+    met = left.join(right, [*key, "part"]).where((apart <= radius) & F.expr(only) & F.expr(f"t = CASE {first} END"))
+    return met.select("hi", "lo", "hi2", "lo2", apart.alias("distance"))
+
+
+def near_pairs(prints: DataFrame, radius: int = 6, spare: int = 2, most: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(pairs of distinct fingerprints with their distance, membership) of doc_id, hi, lo.
+
+    Every pair within the radius is found. A fingerprint is named by its hex digits; null
+    fingerprints pair with nothing.
+    """
+    members = prints.select("doc_id", shown("hi", "lo").alias("fingerprint"))
+    own = prints.where("hi IS NOT NULL AND lo IS NOT NULL")
+    met = near(own, own, radius, spare, "(hi < hi2 OR (hi = hi2 AND lo < lo2))", most)
+    return met.select(shown("hi", "lo").alias("a"), shown("hi2", "lo2").alias("b"), "distance"), members
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +147,11 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likenesses."""
+    """Fingerprints of every text and of its edited text, and their likenesses.
+
+    n_near counts, for every document whose id is divisible by 20, the other documents
+    whose fingerprints differ in RADIUS bits at most; it is null for the rest.
+    """
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 4)))"), F.coalesce(F.substring("next_text", F.lit(1), cut), F.lit("")))
@@ -142,7 +168,14 @@ def query(docs: DataFrame) -> DataFrame:
         "w", "ghost", "doc_id", "n_chars", "hi", "lo", ahead("sha", 1).alias("edited_sha256"),
         ahead("hi", 1).alias("edited_hi"), ahead("lo", 1).alias("edited_lo"), ahead("hi", 2).alias("next_hi"), ahead("lo", 2).alias("next_lo"),
     )
-    return met.where("w = 0 AND NOT ghost").select(
-        "doc_id", "n_chars", "edited_sha256", shown("hi", "lo").alias("fingerprint"), shown("edited_hi", "edited_lo").alias("edited_fingerprint"),
+    made = met.where("w = 0 AND NOT ghost").select(
+        "doc_id", "n_chars", "edited_sha256", "hi", "lo", shown("edited_hi", "edited_lo").alias("edited_fingerprint"),
         likeness(("hi", "lo"), ("edited_hi", "edited_lo")).alias("near_edited"), likeness(("hi", "lo"), ("next_hi", "next_lo")).alias("near_next"),
     )
+    rows = Scratch(docs.sparkSession).cut(made)
+    asks = rows.where("doc_id % 20 = 0")
+    held = rows.groupBy("hi", "lo").agg(F.count("*").alias("n_docs")).select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "n_docs")
+    found = near(asks, rows).join(held, ["hi2", "lo2"]).groupBy("hi", "lo").agg((F.sum("n_docs") - 1).alias("n_near"))
+    names = ["doc_id", "n_chars", "edited_sha256", shown("hi", "lo").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next"]
+    others = rows.where("doc_id % 20 <> 0 OR doc_id IS NULL").select(*names, F.lit(None).cast("long").alias("n_near"))
+    return asks.join(found, ["hi", "lo"], "left").select(*names, "n_near").unionByName(others)

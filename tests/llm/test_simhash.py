@@ -5,7 +5,7 @@ import re
 import pytest
 import xxhash
 
-from gatemeter.llm.simhash import fingerprints, near_pairs, query, shown
+from gatemeter.llm.simhash import RADIUS, fingerprints, near, near_pairs, query, shown
 
 DDL = "doc_id bigint, text string"
 
@@ -58,12 +58,15 @@ def test_query_edits_and_neighbours(spark, rows):
         f, g, h = (int(brute(x), 16) for x in (text, edited, after))
         want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{f:032x}", f"{g:032x}", 1 - (f ^ g).bit_count() / 128, 1 - (f ^ h).bit_count() / 128))
     got = [((-(2**63) if r[0] is None else r[0]), *r[1:]) for r in query(spark.createDataFrame(rows, DDL).repartition(5)).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(r[:-1] for r in got) == sorted(want)
+    prints = [int(r[3], 16) for r in got]
+    for r in got:
+        assert r[-1] == (sum((int(r[3], 16) ^ p).bit_count() <= RADIUS for p in prints) - 1 if r[0] % 20 == 0 and r[0] >= 0 else None)
 
 
 def test_empty_table(spark):
     out = query(spark.createDataFrame([], DDL))
-    assert out.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"] and out.count() == 0
+    assert out.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"] and out.count() == 0
 
 
 def test_all_pairs_within_the_radius(spark):
@@ -74,7 +77,20 @@ def test_all_pairs_within_the_radius(spark):
             values.append(v ^ sum(1 << b for b in r.sample(range(128), k)))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(i, signed(v >> 64), signed(v & (2**64 - 1))) for i, v in enumerate([*values, values[0]])]
-    pairs, members = near_pairs(spark.createDataFrame(rows, "doc_id bigint, hi bigint, lo bigint"), radius=6, spare=2)
+    rows.append((None, None, None))
+    table = spark.createDataFrame(rows, "doc_id bigint, hi bigint, lo bigint")
     want = {frozenset((f"{a:032x}", f"{b:032x}")) for a in values for b in values if a < b and (a ^ b).bit_count() <= 6}
-    assert {frozenset((x["a"], x["b"])) for x in pairs.collect()} == want
-    assert members.count() == len(rows)
+    for most in (2000, 2):  # the second cuts almost every key
+        pairs, members = near_pairs(table, radius=6, spare=2, most=most)
+        got = [frozenset((x["a"], x["b"])) for x in pairs.collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert members.count() == len(rows) and near(table.limit(0), table).count() == near(table, table.limit(0)).count() == 0
+
+
+def test_a_key_that_all_share_is_cut(spark):
+    rows = [(i, 5, i % 100) for i in range(3000)] + [(5000, -1, -(2**63)), (5001, -(2**63), 0)]
+    table = spark.createDataFrame(rows, "doc_id bigint, hi bigint, lo bigint")
+    got = {(r["hi"], r["lo"]): r["n"] for r in near(table, table, radius=3, most=7).groupBy("hi", "lo").count().withColumnRenamed("count", "n").collect()}
+    values = {(h, lo) for _, h, lo in rows}
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert got == {v: sum(bits(v[0], w[0]) + bits(v[1], w[1]) <= 3 for w in values) for v in values}
