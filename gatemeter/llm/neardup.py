@@ -12,7 +12,8 @@ Classes that share a key are candidates; no group's pairs are enumerated. First
 is compared with one pivot, the least class that it shares a key with; what passes is
 linked and components are built. Only keys that still hold several components go on: each
 of their classes is compared with a pivot of the key. In the end the classes of different
-components that share a key are compared pair by pair, each pair under one of its keys, if
+components that share a key are compared pair by pair, each pair under one of its keys and
+the classes of a key dealt to parts of which each two meet in a task of their own, if
 their sizes allow the similarity and wide signatures of 3072 one-bit minima, made for these
 classes alone, are near enough: in the first 384 bits and in all, the differing bits are 5.5
 standard deviations above the mean at similarity 0.8 at most (a pair at 0.8 is past these
@@ -54,6 +55,8 @@ class NearRules:
     wide_bits: int = 3072
     #: of these the first that are looked at
     glance_bits: int = 384
+    #: classes of one key that meet in one task
+    block: int = 1_000
     #: ids that may be broadcast to pick texts; more are joined by shuffle
     broadcast_ids: int = 500_000
 
@@ -265,10 +268,10 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
         rows.where("n_shingles > 0").join(named.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("of")), "doc_id").where("of = set_key")
         .select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "set_key").dropDuplicates(["set_key"])
     )
-    keyed = _keyed(classes, rules)
+    keyed = scratch.cut(_keyed(classes, rules))
     shared_keys = scratch.cut(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("key", "pivot"))
     groups = scratch.cut(keyed.join(shared_keys, "key").select("key", "rep", "pivot"))
-    scratch.drop(shared_keys)
+    scratch.drop(shared_keys, keyed)
     wanted = scratch.cut(groups.select("rep").distinct())
     sets = scratch.cut(_sets(docs, wanted, wanted.count(), rules, id_col, text_col))
     light = scratch.cut(classes.join(wanted, "rep", "left_semi").select("rep", "n_shingles", "sig"))
@@ -282,7 +285,10 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
 
     tried = scratch.cut(groups.where("rep <> pivot").groupBy(F.col("rep").alias("a")).agg(F.min("pivot").alias("b")))
     edges = scratch.cut(_confirmed(close(tried), sets, rules))
+    labels = None
     for last in (False, True):
+        if labels is not None:
+            scratch.drop(labels)
         labels = components(edges, scratch)
         placed = scratch.cut(groups.select("key", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
         open_keys = scratch.cut(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("rep", F.xxhash64("rep")).alias("pivot")).where("low < high").select("key", "pivot"))
@@ -296,20 +302,27 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
             new = left.select("rep", "label", "pivot").distinct().join(of_pivot, "pivot").where("label <> pivot_label").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
         else:
             wide = scratch.cut(_widened(left, sets, rules))
-            info = scratch.cut(left.select("key", "rep", "label").join(light.select("rep", "sig"), "rep").join(wide, "rep"))
-            one = info.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("wide").alias("wa"))
-            two = info.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("wide").alias("wb"))
+            parts = left.groupBy("key").count().where(F.col("count") > rules.block).select("key", F.ceil(F.col("count") / rules.block).cast("int").alias("parts"))
+            cut = left.select("key", "rep", "label").join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+            info = scratch.cut(cut.join(light.select("rep", "sig"), "rep").join(wide, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int")))
+            # the classes of a key are dealt to parts, and each two parts meet in a task of their own
+            one = info.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, parts - 1)")).alias("j"), F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("wide").alias("wa"))
+            two = info.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("wide").alias("wb"))
             once = F.col("key") % 512 == first_place("sa", "sb", rules)
             # cheap tests first: most pairs are far apart already in a few longs
-            may = (F.col("la") < F.col("lb")) & _sizes(rules) & _wide_near(rules.glance_bits, rules) & once & _wide_near(rules.wide_bits, rules)
-            new = one.join(two, (F.col("key") == F.col("key2")) & may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            may = F.expr("la <> lb AND (i < j OR a < b)") & _sizes(rules) & _wide_near(rules.glance_bits, rules) & once & _wide_near(rules.wide_bits, rules)
+            new = one.join(two, ["key", "i", "j"]).where(may).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = scratch.cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = scratch.cut(tried.unionByName(fresh))
-        found = scratch.cut(_confirmed(fresh if last else close(fresh), sets, rules))
-        edges = scratch.cut(edges.unionByName(found))
-    labels = components(edges, scratch)
-    scratch.drop(sets, light, tried, groups)
+        both = scratch.cut(tried.unionByName(fresh))
+        found = scratch.cut(edges.unionByName(_confirmed(fresh if last else close(fresh), sets, rules)))
+        scratch.drop(tried, fresh, edges, *((wide, info) if last else ()))
+        tried, edges = both, found
+    else:
+        scratch.drop(labels)
+        labels = components(edges, scratch)
+    scratch.drop(sets, light, tried, groups, edges)
     of_set = scratch.cut(named.join(labels, named["rep"] == labels["v"], "left").select(F.col("set_key").alias("of_key"), F.coalesce("label", "rep").alias("component"), F.col("rep").alias("class_id")))
+    scratch.drop(named, labels)
     of_id = rows.join(of_set, rows["set_key"] == of_set["of_key"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return of_id.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -331,10 +344,9 @@ def dedup(docs: DataFrame, rules: NearRules = NearRules(words=5), id_col: str =
     order is by id and then by the text's digest, and of equal ids and texts the row of the
     least hash over all columns stays.
     """
-    ids = linked(docs, rules, id_col, text_col)
     named = docs.where(F.col(id_col).isNotNull())
-    if ids.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = ids.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col))
+    if named.groupBy(id_col).count().where("count > 1").isEmpty():
+        gone = linked(docs, rules, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col))
         rest = named.join(gone, id_col, "left_anti")
     else:
         key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))

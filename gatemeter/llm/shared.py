@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,13 +26,14 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Scratch:
-    """Parquet tables of one run. Those kept stay as long as results may read them."""
+    """Parquet tables of one run. Those that results may still read go when the program ends."""
 
     def __init__(self, spark: SparkSession, batch_bytes: int = BATCH_BYTES):
         self.spark = spark
         self.batch_bytes = batch_bytes
         self.top = f"{folder(spark)}/{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self.clear)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """The rows of df, written and read again."""
@@ -48,7 +50,14 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t.scratch_path)
+
+    def clear(self) -> None:
+        """Delete all tables of the run, if the session still stands."""
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.top)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
