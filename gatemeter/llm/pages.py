@@ -2,29 +2,40 @@
 
 A page is read as a stream of tags, texts, comments and raw elements. Two things follow.
 
-*Wrappers.* The pages of one host are aligned one after another, tag by tag; where they
-differ, texts become slots, elements that not all pages have become optional, and
-neighbouring elements of one name are folded to a repeated group. The result is a regular
-expression without unions. Wrappers are built inside the partitions as pages go by and then
-merged by host in two steps, as a wrapper aligns with a wrapper as with a page: first those
-of partitions with one integer root, then the roots', so that of P partitions no task merges
-more than about 2 sqrt(P) wrappers of a host. What is shuffled is one wrapper for each host
-and partition. Texts that stay constant over most pages of a host are its template texts.
+*Wrappers.* The pages of one host are aligned one after another, element by element; where
+they differ, texts become slots, elements that not all pages have become optional, and
+neighbouring elements of one key are folded to a repeated group. The key is the element's
+name and class with numbers made equal, so running ids don't part what belongs together. The
+result is a regular expression without unions. Wrappers are built inside the partitions as
+pages go by and then merged by host in two steps, as a wrapper aligns with a wrapper as with
+a page: first those of partitions with one integer root, then the roots', so that of P
+partitions no task merges more than about 2 sqrt(P) wrappers of a host. What is shuffled is
+one wrapper for each host and partition; optional nodes of few pages leave it (``merged``).
+
+*Region.* The wrapper chooses where the main text stands: from the root, the way goes on to
+the child that holds two thirds of the slots' characters (links don't count), as long as it is
+on most pages and not repeated (``main_region``). A page's text is what it has in that
+element, with the headings beside the way to it. So changing link lists, teasers and adverts
+outside are left out without a telling class, and constant texts inside stay. Where the page
+marks articles, a region that is one gives way to marked ones of more than twice its text,
+and another region is taken only if it has twice their text and none of it. Where the host has no region (fewer than three pages, no
+child that stands out) or the page lacks it, the text is that of the page's article or main;
+else what is left of the body without texts constant over most pages of the host.
 
 *Extraction.* Elements that hold no main text (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by name, role, class or id) are
-left out. A class or id counts as a whole name: all its parts must be of the lists below, so
-``has-sidebar`` or ``related-work`` say nothing, and a head in an article is its own. An
-element isn't left out by class or id if it holds the page's only articles or more than half
-of its text; reader comments only if there is no other text. If a page has an article (or main) element, its text is what stands in it;
-else it is what is left of the body without the host's template texts. Character
-references are decoded, white space inside a block becomes one space, blocks are joined by
-a newline. Nothing is capped.
+left out everywhere. A class or id counts as a whole name: all its parts must be of the lists
+below, so ``has-sidebar`` or ``related-work`` say nothing, and a head in an article is its own.
+An element isn't left out by class or id if it holds the page's only articles or more than
+half of its text; reader comments only if there is no other text. Character references are
+decoded, white space inside a block becomes one space, blocks are joined by a newline.
+Nothing is capped.
 
 Wrappers are broadcast only while small (their size is measured), else joined by host.
 Defined results: null html counts as empty and gives an empty text; a null url is a host of
 its own; repeated rows are read each on its own; unclosed and misnested markup is read on,
-and an element left out whose end tag is missing ends where HTML closes it;
+an element left out whose end tag is missing ends where HTML closes it, and from a tag whose
+quotes never close tags end at their first >;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,7 +46,7 @@ import json
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -44,11 +55,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from gatemeter.llm.textbatch import filled
 
-_LEX = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
-)
+_RAW = r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|$)"
+_TAG = r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+_REST = r"|<[!?/][^>]*>|[^<]+|<"
+#: a tag ends at the first > outside of quotes
+_LEX = re.compile(rf"{_RAW}|{_TAG}(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>{_REST}", re.DOTALL | re.IGNORECASE)
+#: the same where quotes aren't closed: a tag ends at the first >
+_LOOSE = re.compile(rf"{_RAW}|{_TAG}(?P<attrs>[^>]*+)>{_REST}", re.DOTALL | re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -77,6 +90,13 @@ _CELLS = frozenset("td th tr tbody thead tfoot".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)} | dict.fromkeys(("tbody", "thead", "tfoot"), (*_CELLS, "caption"))
 _MARKED = frozenset(("article", "main"))
 _TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: elements that may be the region of the main text
+_HOLDERS = frozenset("html body div section main article center".split())
+_DIGITS = re.compile("[0-9]+")
+#: depth of a wrapper's nodes; what is deeper stands beside one another at that depth
+MOST_DEPTH = 60
+#: wrappers that a task holds before it gives them out; a host's wrappers of one partition are merged later anyway
+MOST_HOSTS = 20_000
 #: end tags that reach through an open article
 _WHOLE = frozenset(("article", "main", "body", "html"))
 #: an end tag reaches no further up: of a cell or row, of another block, of an inline element
@@ -86,6 +106,32 @@ _LIST_STOPS = _STOPS - {"address", "div", "p"}
 _SCOPES = dict.fromkeys(_CELLS, frozenset(("table",))) | {"table": frozenset(), "li": _CELL_STOPS | {"ul", "ol"}} | dict.fromkeys(_WHOLE, frozenset())
 
 
+def _tokens(page: str) -> Iterator[tuple[str | None, str, str | None]]:
+    """(text, "", None), (None, name, attributes) of an opening tag, (None, name, None) of an end tag; one pass.
+
+    Comments and raw elements are empty texts. From a tag on whose quotes never close, tags
+    end at their first >; after the last > all is text.
+    """
+    at, last, lex = 0, page.rfind(">"), _LEX
+    while at <= last:
+        for m in lex.finditer(page, at):
+            said, name = m[0], m["name"]
+            if said == "<" and lex is _LEX and m.end() <= last and page[m.end()].isalpha():
+                lex, at = _LOOSE, m.start()
+                break
+            at = m.end()
+            if name is not None:
+                yield None, name.lower(), None if m["end"] else m["attrs"]
+            else:
+                yield (said if said[0] != "<" or said == "<" else ""), "", None
+            if at > last:
+                break
+        else:
+            break
+    if at < len(page):
+        yield page[at:].partition("<!--")[0], "", None
+
+
 def _named(name: str, attrs: str, articles: int = 0) -> str:
     """What a class or id says that the element is: "comments" or "other" (no main text), or "" (nothing)."""
     said = ""
@@ -177,14 +223,12 @@ class _Events:
             if read is not None and read >= keep:
                 read = None
 
-        for m in _LEX.finditer(page):
-            name = m["name"]
+        for text, name, attrs in _tokens(page):
             at = len(self.text)
-            if name is None:
-                self.add("<" if m[0] == "<" else "" if m[0][0] == "<" else m[0], "", None)
+            if text is not None:
+                self.add(text, "", None)
                 continue
-            name, attrs = name.lower(), m["attrs"]
-            if m["end"]:
+            if attrs is None:
                 keep = _ended(names, counts, name, len(names) if read is None else read)
                 if keep < len(names):
                     cut(keep, at, True)
@@ -258,17 +302,17 @@ class _Weights:
         return min(self.depths[bisect_left(self.begun, start) : bisect_left(self.begun, end)], default=None)
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """(texts of the blocks in page order, whether they stand in an article or main)."""
-    inside: list[list[str]] = [[], []]  # of the body, of articles
+def blocks(page: str, region: Sequence[str] = ()) -> tuple[list[str], str]:
+    """(texts of the blocks in page order, where they stand: "article", "region" or "body")."""
+    inside: list[list[str]] = [[], [], []]  # of the body, of articles, of the region
     held: list[str] = []
-    articles = beside = at = 0
+    articles = beside = shared = at = begun = 0
     spared = None  # the end of a named element that is read as it holds the articles or most of the text
     weights: _Weights | None = None
     plain = sure = False  # whether an article stands outside of named elements left out, and of all
 
     def end_block() -> None:
-        nonlocal beside
+        nonlocal beside, shared
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
@@ -276,6 +320,9 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 inside[0].append(text)
                 if articles:
                     inside[1].append(text)
+                if any(a <= begun < b for a, b in spans):
+                    inside[2].append(text)
+                    shared += len(text) if articles else 0
                 if spared is None or at > spared:
                     beside += len(text)
 
@@ -300,10 +347,13 @@ def blocks(page: str) -> tuple[list[str], bool]:
         return not kept
 
     events = _Events(page)
+    spans = _spans(events, region) if region else []
     at = -1
     while (at := at + 1) < len(events.text):
         text, name, attrs = events.text[at], events.name[at], events.attrs[at]
         if text is not None:
+            if not held or not text.isspace() and not any(map(str.strip, held)):
+                begun = at
             held.append(text)
             continue
         if attrs is not None and name not in _VOID and not (articles and name == "header"):  # an article's own header holds its title
@@ -322,55 +372,60 @@ def blocks(page: str) -> tuple[list[str], bool]:
             articles = max(0, articles - 1) if attrs is None else articles + 1
     end_block()
     marked = bool(inside[1]) and (spared is None or sure or sum(map(len, inside[1])) >= beside)
-    return (inside[1], True) if marked else (inside[0], False)
+    own, articled = (sum(map(len, inside[k])) for k in (2, 1))
+    if own and (not marked or (2 * own >= articled if region[-1].partition(".")[0] in _MARKED else own >= 2 * articled and not shared)):
+        return inside[2], "region"
+    return (inside[1], "article") if marked else (inside[0], "body")
 
 
-# A wrapper: {"n": pages, "c": [node]}; a node is [key, pages, repeated, children] or ["#", pages, text or None].
+# A wrapper: {"n": pages, "c": [node]}; a node is [key, pages, repeated, children] or ["#", pages, text or None, characters].
 
 
-def tree(page: str, most_depth: int = 60) -> dict:
-    """The wrapper of one page."""
+def _key(name: str, attrs: str) -> str:
+    """What an element aligns by: its name and the first word of its class, numbers made equal."""
+    if "class" in attrs:
+        for key, value in _ATTR.findall(attrs):
+            if key.lower() == "class" and (words := value.strip("\"'").lower().split()):
+                return f"{name}.{_DIGITS.sub('0', words[0])}"
+    return name
+
+
+def tree(page: str) -> dict:
+    """The wrapper of one page. Deeper than MOST_DEPTH, elements stand beside one another."""
+    events = _Events(page)
     root: list = []
-    stack: list[tuple[str, list]] = [("", root)]
-    for m in _LEX.finditer(page):
-        name = m["name"]
-        if name is None:
-            if m[0][0] != "<":
-                text = _SPACE.sub(" ", html.unescape(m[0])).strip()
-                if text:
-                    stack[-1][1].append(["#", 1, text])
-            continue
-        name = name.lower()
-        if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in _CLOSES.get(name, ()):
-                del stack[k:]
-                break
-            if stack[k][0] in ("ul", "ol", "table", "article", "div", "section"):
-                break
-        label = next((v.strip("\"'") for k, v in _ATTR.findall(m["attrs"]) if k.lower() in ("class", "id")), "") if "=" in m["attrs"] else ""
-        node = [f"{name}.{label}" if label else name, 1, False, []]
-        stack[-1][1].append(node)
-        if name not in _VOID and not m["attrs"].endswith("/") and len(stack) < most_depth:
-            stack.append((name, node[3]))
+    stack: list[tuple[int, list]] = [(len(events.text) + 1, root)]
+    for at, text in enumerate(events.text):
+        while stack[-1][0] <= at:
+            stack.pop()
+        if text is not None:
+            said = _SPACE.sub(" ", html.unescape(text)).strip()
+            if said:
+                stack[-1][1].append(["#", 1, said, len(said)])
+        elif (attrs := events.attrs[at]) is not None:
+            node = [_key(events.name[at], attrs), 1, False, []]
+            stack[-1][1].append(node)
+            end = events.end.get(at)
+            if end is not None and len(stack) < MOST_DEPTH:
+                stack.append((end, node[3]))
     return {"n": 1, "c": folded(root)}
 
 
+def _joined_text(a: list, b: list, pages: int) -> list:
+    return ["#", pages, a[2] if a[2] == b[2] else None, a[3] + b[3]]
+
+
 def folded(nodes: list) -> list:
-    """Neighbouring elements of one key as one repeated group."""
+    """Neighbouring elements of one key as one repeated group, neighbouring texts as one."""
     out: list = []
     for node in nodes:
-        if len(node) == 4:
+        if node[0] != "#":
             node[3] = folded(node[3])
-            if out and out[-1][0] == node[0] and len(out[-1]) == 4:
+            if out and out[-1][0] == node[0]:
                 out[-1] = [node[0], out[-1][1], True, aligned(out[-1][3], node[3])]
                 continue
         elif out and out[-1][0] == "#":
+            out[-1] = _joined_text(out[-1], node, 1)
             continue
         out.append(node)
     return out
@@ -379,16 +434,18 @@ def folded(nodes: list) -> list:
 def aligned(a: list, b: list) -> list:
     """The two sequences as one: equal keys merge, the rest becomes optional."""
     out: list = []
-    for tag, i, j, k, n in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
+    keys_a, keys_b = [x[0] for x in a], [x[0] for x in b]
+    same = keys_a == keys_b
+    for tag, i, j, k, n in [("equal", 0, len(a), 0, len(b))] if same else SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
         if tag == "equal":
             for x, y in zip(a[i:j], b[k:n], strict=True):
                 if x[0] == "#":
-                    out.append(["#", x[1] + y[1], x[2] if x[2] == y[2] else None])
+                    out.append(_joined_text(x, y, x[1] + y[1]))
                 else:
                     out.append([x[0], x[1] + y[1], x[2] or y[2], aligned(x[3], y[3])])
         else:
             out += a[i:j] + b[k:n]
-    return refolded(out)
+    return out if same else refolded(out)
 
 
 def refolded(nodes: list) -> list:
@@ -398,7 +455,7 @@ def refolded(nodes: list) -> list:
         if out and out[-1][0] == node[0]:
             last = out[-1]
             if node[0] == "#":
-                out[-1] = ["#", max(last[1], node[1]), last[2] if last[2] == node[2] else None]
+                out[-1] = _joined_text(last, node, max(last[1], node[1]))
             else:
                 out[-1] = [node[0], max(last[1], node[1]), True, aligned(last[3], node[3])]
         else:
@@ -406,8 +463,24 @@ def refolded(nodes: list) -> list:
     return out
 
 
+def pruned(nodes: list, least: float) -> list:
+    """Without what fewer pages have; a text that goes leaves a slot's place to its neighbours."""
+    return [x if x[0] == "#" else [x[0], x[1], x[2], pruned(x[3], least)] for x in nodes if x[1] >= least]
+
+
 def merged(a: dict | None, b: dict) -> dict:
-    return b if a is None else {"n": a["n"] + b["n"], "c": aligned(a["c"], b["c"])}
+    """The wrapper of both; each time its pages double past 64, nodes that fewer than a 32nd of them have go.
+
+    So a wrapper has a bounded number of optional nodes for each it needs, however many pages
+    a host has; only nodes of most pages decide anything.
+    """
+    if a is None:
+        return b
+    n = a["n"] + b["n"]
+    nodes = aligned(a["c"], b["c"])
+    if n >= 64 and n.bit_length() > max(a["n"], b["n"]).bit_length():
+        nodes = pruned(nodes, n / 32)
+    return {"n": n, "c": nodes}
 
 
 def expression(wrapper: dict) -> str:
@@ -417,7 +490,8 @@ def expression(wrapper: dict) -> str:
         parts = []
         for node in nodes:
             own = (node[2] if node[2] is not None else "#PCDATA") if node[0] == "#" else f"<{node[0]}>{show(node[3], node[1])}</{node[0]}>"
-            parts.append(f"({own}){'+' if len(node) == 4 and node[2] else ''}{'?' if node[1] < n else ''}" if node[1] < n or len(node) == 4 and node[2] else own)
+            many = node[0] != "#" and node[2]
+            parts.append(f"({own}){'+' if many else ''}{'?' if node[1] < n else ''}" if node[1] < n or many else own)
         return "".join(parts)
 
     return show(wrapper["c"], wrapper["n"])
@@ -439,6 +513,70 @@ def template_texts(wrapper: dict, least: int = 3, share: float = 0.6) -> list[st
     return sorted(set(out))
 
 
+def _slots(nodes: list) -> int:
+    """Characters of the slots, but for those of links and of elements left out."""
+    total = 0
+    for node in nodes:
+        if node[0] == "#":
+            total += node[3] if node[2] is None else 0
+        else:
+            name, _, label = node[0].partition(".")
+            if name != "a" and not _boilerplate(name, "") and not (label and _named(name, f"class={label}")):
+                total += _slots(node[3])
+    return total
+
+
+def main_region(wrapper: dict, least: int = 3, share: float = 0.6, most_of: float = 2 / 3) -> list[str]:
+    """Keys from the root to the element whose slots hold the pages' main text; [] if none stands out.
+
+    From the root, the way goes on to a child as long as that child alone holds two thirds
+    of the slots' characters, is on most pages, isn't repeated and may hold blocks. It goes
+    no further than an article or main.
+    """
+    path: list[str] = []
+    nodes = wrapper["c"]
+    if wrapper["n"] < least:
+        return path
+    while True:
+        weights = [0 if x[0] == "#" else _slots([x]) for x in nodes]
+        whole = sum(weights) + sum(x[3] for x in nodes if x[0] == "#" and x[2] is None)
+        k = max(range(len(nodes)), key=weights.__getitem__, default=None)
+        if k is None or not whole or weights[k] < most_of * whole:
+            break
+        key, pages, repeated, children = nodes[k]
+        if repeated or key.partition(".")[0] not in _HOLDERS or pages < share * wrapper["n"] or sum(x[0] == key for x in nodes) > 1:
+            break
+        path.append(key)
+        nodes = children
+        if key.partition(".")[0] in _MARKED:
+            break
+    return path if path and path[-1].partition(".")[0] not in ("html", "body") else []
+
+
+def _spans(events: _Events, region: Sequence[str]) -> list[tuple[int, int]]:
+    """Where the region's elements stand on a page, and the headings that stand beside the way to them."""
+    out: list[tuple[int, int]] = []
+    titles = region[-1].partition(".")[0] not in _MARKED  # an article has its own
+    stack: list[tuple[int, int]] = [(len(events.text) + 1, 0)]  # (end, how many keys of the way are behind; -1 off it)
+    for at, name in enumerate(events.name):
+        attrs, end = events.attrs[at], events.end.get(at)
+        if attrs is None or end is None:
+            continue
+        while stack[-1][0] <= at:
+            stack.pop()
+        done = stack[-1][1]
+        if done >= 0 and name in _TITLES and titles:
+            out.append((at, end))
+        if done < 0 or done == len(region) or _key(name, attrs) != region[done]:
+            done = -1
+        else:
+            done += 1
+            if done == len(region):
+                out.append((at, end))
+        stack.append((end, done))
+    return out if any(events.name[a] not in _TITLES for a, _ in out) else []
+
+
 def host_column(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
@@ -453,7 +591,7 @@ def wrappers(pages: DataFrame, url: str = "url", html_col: str = "html") -> Data
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), filled(batch.column(1)).to_pylist(), strict=True):
                 made[host] = merged(made.get(host), tree(page))
-            if len(made) > 20_000:
+            if len(made) > MOST_HOSTS:
                 yield out(made, root)
                 made = {}
         yield out(made, root)
@@ -473,20 +611,21 @@ def wrappers(pages: DataFrame, url: str = "url", html_col: str = "html") -> Data
 
 
 def templates(own: DataFrame) -> DataFrame:
-    """(host, texts) of wrappers."""
+    """(host, texts, region) of wrappers: the constant texts and the way to the main text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [template_texts(json.loads(w)) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.string()))], names=["host", "texts"])
+            made = [json.loads(w) for w in batch.column(1).to_pylist()]
+            of = lambda f: pa.array(list(map(f, made)), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), of(template_texts), of(main_region)], names=["host", "texts", "region"])
 
-    return own.select("host", "wrapper").mapInArrow(run, "host string, texts array<string>")
+    return own.select("host", "wrapper").mapInArrow(run, "host string, texts array<string>, region array<string>")
 
 
-def main_text(page: str, template: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's main text; template texts count only where no article is marked."""
-    found, marked = blocks(page)
-    if not marked and template:
+def main_text(page: str, template: frozenset[str] | set[str] = frozenset(), region: Sequence[str] = ()) -> str:
+    """The page's main text: the region that the wrapper chose, else marked articles, else the body without template texts."""
+    found, where = blocks(page, region)
+    if where == "body" and template:
         found = [b for b in found if b not in template] or found
     return "\n".join(found)
 
@@ -496,17 +635,17 @@ def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20, id_col: str = "pa
     from gatemeter.llm.shared import Scratch
 
     known = Scratch(pages.sparkSession).cut(templates(wrappers(pages, url, html_col)))
-    size = known.select(F.sum(F.length("host") + F.aggregate("texts", F.lit(0), lambda s, t: s + F.length(t))).alias("n")).first()["n"] or 0
+    size = known.select(F.sum(F.length("host") + F.aggregate(F.concat("texts", "region"), F.lit(0), lambda s, t: s + F.length(t))).alias("n")).first()["n"] or 0
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html_col).alias("html"), host_column(url).alias("host"))
-    both = rows.join(F.broadcast(known) if size <= broadcast_bytes else known, "host", "left").select("page_id", "url", "html", "texts")
+    both = rows.join(F.broadcast(known) if size <= broadcast_bytes else known, "host", "left").select("page_id", "url", "html", "texts", "region")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages_, texts = filled(batch.column(2)), batch.column(3)
+            pages_, texts, regions = filled(batch.column(2)), batch.column(3), batch.column(4)
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                made = [main_text(pages_[k].as_py(), set(texts[k].as_py() or ())) for k in range(i, i + part.num_rows)]
+                made = [main_text(pages_[k].as_py(), set(texts[k].as_py() or ()), regions[k].as_py() or ()) for k in range(i, i + part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -1,7 +1,8 @@
 import json
 import random
+import time
 
-from gatemeter.llm.pages import expression, extract, main_text, merged, query, template_texts, tree, wrappers
+from gatemeter.llm.pages import expression, extract, main_region, main_text, merged, query, template_texts, tree, wrappers
 
 DDL = "page_id bigint, url string, html string"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:"<p>x</p>"}</style></head><body class="menu-open">
@@ -62,6 +63,96 @@ def test_alignment_finds_slots_optionals_and_repeats():
     assert template_texts(whole) == ["Terms apply"]
 
 
+def made_site(r, host, n):
+    """Pages of one made-up template whose names say nothing, each with its true main text."""
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(2, 9)))
+    some = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    names = [f"k{r.randint(1, 9)}{word()}" for _ in range(6)]
+    deep, heads, note, side_first, table = r.randint(1, 4), r.random() < 0.5, some(3, 6), r.random() < 0.5, r.random() < 0.5
+    out = []
+    for i in range(n):
+        blocks, parts = [], []
+
+        def add(tag, text, blocks=blocks, parts=parts):
+            blocks.append(text)
+            parts.append(f"<{tag}>{text.replace(' ', '  ', 1)}</{tag}>")
+
+        title = some(3, 7)
+        for _ in range(r.randint(3, 9)):
+            kind = r.random()
+            if kind < 0.7:
+                add("p", some(10, 60))
+            elif kind < 0.8:
+                add("blockquote", some(4, 20))
+            elif kind < 0.9:
+                items = [some(2, 8) for _ in range(r.randint(1, 5))]
+                blocks += items
+                parts.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            else:
+                add("h2", some(2, 5))
+        add("h3", "Ingredients")
+        add("p", some(20, 40))
+        links = "".join(f'<li><a href="/{word()}">{some(1, 4)}</a></li>' for _ in range(r.randint(2, 9)))
+        teaser = f'<div class="{names[1]}" id="t{i}"><p>{some(3, 12)}</p></div>' if r.random() < 0.7 else ""
+        side = f'<div class="{names[2]}"><p>{note}</p><p>{some(2, 6)}</p></div>'
+        inner = f'<div class="{names[0]}" id="post-{i}">{"" if heads else f"<h1>{title}</h1>"}{"".join(parts)}</div>'
+        for d in range(deep):
+            inner = f'<div class="{names[3]}-{d}">{f"<h1>{title}</h1>" if heads and not d else ""}{inner}</div>'
+        last = f"<table><tr><td>{some(1, 3)}</td></tr></table>" if table else ""
+        body = f'<div class="{names[4]}"><ul>{links}</ul></div>{side if side_first else ""}{inner}{teaser}{"" if side_first else side}{last}<p>{note}</p>'
+        out.append((f"https://{host}/{i}", f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{body}</body></html>", "\n".join([title, *blocks])))
+    return out
+
+
+def test_wrappers_find_the_main_text_of_made_up_templates(spark):
+    r = random.Random(5)
+    site = [x for k in range(12) for x in made_site(r, f"h{k}.example", r.choice([6, 15, 40, 90]))]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(site)], DDL).repartition(5)
+    got = {x["page_id"]: x["text"] for x in extract(pages).collect()}
+    assert [got[i] for i in range(len(site))] == [t for _, _, t in site]
+    assert not any(main_text(h) == t for _, h, t in site)  # without the wrappers no page comes out right
+
+
+def test_link_lists_marked_as_articles_do_not_hide_the_main_text():
+    site = made_site(random.Random(8), "one.example", 30)
+    site = [(u, h.replace('<div class="k', '<article class="k', 1).replace("</ul></div>", "</ul></article>", 1), t) for u, h, t in site]
+    whole = None
+    for _, h, _ in site:
+        whole = merged(whole, tree(h))
+    assert [main_text(h, set(template_texts(whole)), main_region(whole)) for _, h, _ in site] == [t for _, _, t in site]
+
+
+def test_a_region_gives_way_to_a_larger_article_and_to_missing_elements():
+    path = ["html", "body", "article.b"]
+    assert main_text("<html><body><article class=b><p>tease</p></article><div><article><p>the long main text</p></article></div>", (), path) == "tease\nthe long main text"
+    assert main_text("<html><body><article class=b><p>the main text</p></article><div><article><p>tease</p></article></div>", (), path) == "the main text"
+    assert main_text("<html><body><div><p>no such element</p></div>", (), path) == "no such element"
+    assert main_text("<html><body><h1>T</h1><div class=m><p>x</p></div><p>out</p>", (), ["html", "body", "div.m"]) == "T\nx"
+    assert main_region({"n": 2, "c": tree("<html><body><div class=m><p>x</p></div>")["c"]}) == []
+
+
+def test_wrappers_stay_small_however_many_pages():
+    whole, sizes = None, []
+    for i in range(1200):
+        p = f"<html><body><div class='m' id='post-{i}'><p>text {i}</p></div><div class='x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}'>{i}</div></body></html>"
+        whole = merged(whole, tree(p))
+        sizes.append(len(json.dumps(whole)))
+    assert whole["n"] == 1200 and main_region(whole) == ["html", "body", "div.m"]
+    assert max(sizes[600:]) < 60_000 and sizes[-1] < 40_000
+
+
+def test_custom_elements_and_broken_tags():
+    assert main_text("<p>one</p><svg-icon></svg-icon><p>two</p>") == "one\ntwo"
+    assert main_text("<article>a<title-bar></title-bar><p>b</p><style-guide>c</style-guide></article>") == "a\nb\nc"
+    assert main_text('<p>a</p><div title="never closed><p>b</p>') == "a\nb"
+    assert main_text("<p>a</p><b") == "a\n<b" and main_text("<p>x <!-- open") == "x" and main_text("<p>x<script>var a") == "x"
+    assert main_text("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
+    for unit in ('<a "', '<a ">"', "<a '\">", "<script ", "<!-- ", "<", "</"):
+        began = time.process_time()
+        main_text(unit * 20_000)
+        assert time.process_time() - began < 5, unit
+
+
 def test_template_texts_are_left_out_without_an_article(spark):
     rows = [(i, f"http://U@Host.example:80/{i}", page([f"item{i}", f"more{i}"])) for i in range(12)] + [(50, "http://other.example/", page(["x"])), (51, None, None), (52, "not a url", ""), (0, "http://host.example/0", page(["item0", "more0"]))]
     docs = spark.createDataFrame([(*r, 1) for r in rows], DDL + ", text int").repartition(4)
