@@ -14,7 +14,7 @@ _HOME = {
     "gatemeter.operators.admission": ("active_rules", "admitted", "effective", "promotion", "reachability"),
     "gatemeter.operators.events": ("Config", "Limits", "decisions", "findings_log"),
     "gatemeter.operators.match": ("coverage", "findings", "match_native", "match_python", "scan_documents"),
-    "gatemeter.operators.measure": ("bundle_failures", "bundle_hits", "combine", "corpus_digest", "lanes", "rule_hits", "with_bounds"),
+    "gatemeter.operators.measure": ("bundle_failures", "bundle_hits", "combine", "corpus_digest", "corpus_tree_digest", "lanes", "rule_hits", "with_bounds"),
 }
 __all__ = sorted(name for names in _HOME.values() for name in names)
 

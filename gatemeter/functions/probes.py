@@ -6,7 +6,7 @@ from __future__ import annotations
 CONTENT_FREE = (
     " ", "  ", "   ", " " * 4, " " * 100,
     "\t", "\v", "\f", "\n", "\r", "\r\n", "\n\n", " \n ", "\t\n\r ",
-    " ", "  ", " ", " ", "　", "﻿",
+    "\u00a0", "\u00a0 ", "\u2007", "\u202f", "\u3000", "\ufeff",
 )
 
 # Common texts; a rule that accepts one is broad.

@@ -60,7 +60,7 @@ def hazards(pattern: str) -> set[str]:
                     if kind is C.LITERAL and 0xD800 <= x <= 0xDFFF or kind is C.RANGE and (0xD800 <= x[0] <= 0xDFFF or 0xD800 <= x[1] <= 0xDFFF):
                         out.add("surrogate")
             many = op in _REPEATS and value[1] > 1
-            if many and repeated:
+            if repeated and op in _REPEATS and (many or value[0] != value[1]):
                 out.add("nested_repeat")
             for child in _children(op, value):
                 walk(child, repeated or many)

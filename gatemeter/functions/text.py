@@ -160,7 +160,7 @@ def leaves_of(payload: pd.Series) -> pd.Series:
 
 
 #: What a JavaScript trim removes.
-BLANKS = "\t\n\x0b\f\r \xa0                　﻿"
+BLANKS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim_all(c: Column) -> Column:

@@ -41,14 +41,15 @@ def schedule_key(r: Rule) -> tuple:
     return (2, sum(map(len, r.patterns)), 0, r.id)
 
 
-def predicate(rule: Rule, text: Column) -> Column:
+def predicate(rule: Rule, text: Column, low: Column | None = None) -> Column:
     """The rule as a boolean column; only for native-safe patterns.
 
     A pattern is tried only where a literal that it needs is found; ASCII letters of any case
-    stay themselves when the text is lowered, so nothing is lost.
+    stay themselves when the text is lowered, so nothing is lost. low: the lowered text, if it
+    is there already.
     """
     parts: list[Column] = []
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     for p in rule.patterns:
         if rule.kind.startswith("SUBSTRING"):
             parts.append(text.contains(p) if rule.case_sensitive else low.contains(p.lower()))
@@ -73,8 +74,12 @@ def predicate(rule: Rule, text: Column) -> Column:
 def match_native(units: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The units with `rule_ids`, the ids of the rules that match, in schedule order."""
     check_load(rules)
-    ids = [F.when(predicate(r, F.col(text_col)), F.lit(r.id)) for r in sorted(rules, key=schedule_key)]
-    return units.withColumn("rule_ids", F.filter(F.array(*ids), lambda x: x.isNotNull()) if ids else F.array().cast("array<string>"))
+    if not rules:
+        return units.withColumn("rule_ids", F.array().cast("array<string>"))
+    low = "_low" + "_" * max(map(len, units.columns))  # a name that the units don't have
+    lowered = units.withColumn(low, F.lower(F.col(text_col)))  # once for all rules
+    ids = [F.when(predicate(r, F.col(text_col), F.col(low)), F.lit(r.id)) for r in sorted(rules, key=schedule_key)]
+    return lowered.withColumn("rule_ids", F.array_compact(F.array(*ids))).drop(low)
 
 
 def first_span(needle: str, text: Column, case_sensitive: bool = False) -> tuple[Column, Column]:

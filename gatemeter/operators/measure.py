@@ -144,8 +144,26 @@ def nearest_index_quantiles(rows: DataFrame, value: str, cuts: list[float], buck
     return placed.join(F.broadcast(wanted), "b").where("at < before + upto AND at >= before + upto - n").select("q", "value")
 
 
-def corpus_digest(units: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One digest of all texts whatever their order.
+#: Samples that a pinned corpus may have; its digest is one hash over all, one after another.
+MOST_PINNED = 5_000_000
+
+
+def corpus_digest(samples: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "label") -> DataFrame:
+    """(digest, samples) of a labelled corpus whatever its order: the form that pins are published in.
+
+    Each sample's digest is over id, text and 0 or 1 with zero bytes between; the corpus's is
+    over those in order, a newline after each. One task hashes them all, so a corpus beyond
+    MOST_PINNED samples is refused; ``corpus_tree_digest`` holds at any size.
+    """
+    label = F.when(F.coalesce(F.col(label_col).cast("boolean"), F.lit(False)), "1").otherwise("0")
+    own = samples.select(F.sha2(F.concat(F.col(id_col).cast("string"), F.lit("\0"), F.col(text_col), F.lit("\0"), label), 256).alias("h"))
+    made = own.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("h")).alias("h"))
+    fits = F.when(F.col("n") > MOST_PINNED, F.raise_error(F.lit("too many samples for one digest"))).otherwise(F.col("n"))
+    return made.select(F.sha2(F.array_join(F.transform("h", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("digest"), fits.cast("long").alias("samples"))
+
+
+def corpus_tree_digest(units: DataFrame, text_col: str = "text") -> DataFrame:
+    """One digest of all texts whatever their order, at any size; not the form of pins.
 
     Texts' digests are put in order within their first four hex digits (65,536 groups), then
     the groups' digests within the first two, then those: no step holds more than a small

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatemeter.model import Rule, rules_table
 from gatemeter.operators import audit, lookups
-from gatemeter.plans.rulebook import RULES, RUNNABLE
+from gatemeter.plans.rulebook import RULES, RUNNABLE, quote, sql_predicate, sql_rules
 from gatemeter.session import table
 
 QUERIES: dict = {}
@@ -23,16 +23,27 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-@query("content_free_rules", "SELECT 'w:blank' AS rule_id, 0 AS probe_no")
+def _sql_probes(texts: tuple[str, ...], rules: list[Rule]) -> str:
+    """(rule_id, probe_no) of the probe texts that rules accept, for DuckDB."""
+    shown = ", ".join(f"({i}, {quote(t)})" for i, t in enumerate(texts))
+    return " UNION ALL ".join(f"SELECT {quote(r.id)} AS rule_id, probe_no FROM (VALUES {shown}) AS p(probe_no, text) WHERE {sql_predicate(r)}" for r in rules)
+
+
+BLANK = [*RUNNABLE, Rule("w:blank", "REGEX", (r"^[\s]+$",)), Rule("w:any", "REGEX", ("[^a-z0-9]",))]
+WIDE = [*RUNNABLE, Rule("w:letters", "REGEX", ("[a-z]{3}",)), Rule("w:sign", "REGEX", ("[.,;:]",))]
+
+
+@query("content_free_rules", f"SELECT rule_id, min(probe_no) AS probe_no FROM ({_sql_probes(audit.CONTENT_FREE, BLANK)}) GROUP BY rule_id")
 def content_free_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that fire on whitespace."""
-    return audit.content_free(spark, [*RUNNABLE, Rule("w:blank", "REGEX", (r"^[\s]+$",))])
+    return audit.content_free(spark, BLANK)
 
 
-@query("breadth_classes")
+@query("breadth_classes", f"""SELECT r.rule_id, CASE WHEN count(p.probe_no) > 0 THEN 'BROAD' ELSE 'MEDIUM' END AS breadth, coalesce(string_agg(p.probe_no::VARCHAR, ',' ORDER BY p.probe_no), '') AS probes
+FROM (VALUES {", ".join(f"({quote(r.id)})" for r in WIDE)}) AS r(rule_id) LEFT JOIN ({_sql_probes(audit.COMMON, WIDE)}) AS p ON p.rule_id = r.rule_id GROUP BY r.rule_id""")
 def breadth_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules by whether they accept common texts."""
-    return audit.breadth(spark, list(RUNNABLE))
+    return audit.breadth(spark, WIDE).withColumn("probes", F.array_join("probes", ","))
 
 
 @query("rule_digests")
@@ -52,12 +63,16 @@ def boundary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.boundary_summary(audit.boundary_hits(table(spark, sf_dir, "documents"), BOUNDARY))
 
 
-@query("construct_census", "SELECT * FROM (VALUES ('caret', 1::BIGINT), ('dollar', 1::BIGINT)) AS v(construct, rules)")
+@query("construct_census", f"""SELECT c AS construct, count(DISTINCT id) AS rules FROM (SELECT id, CASE WHEN starts_with(p, '^') THEN 'caret' WHEN ends_with(p, '$') THEN 'dollar' END AS c
+FROM (VALUES {", ".join(f"({quote(r.id)}, {quote(p)})" for r in BOUNDARY for p in r.patterns)}) AS v(id, p)) WHERE c IS NOT NULL GROUP BY c""")
 def construct_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.construct_census(spark, BOUNDARY)
 
 
-@query("longest_shared_run")
+@query("longest_shared_run", r"""WITH w AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM benchmark),
+t AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w), m AS (SELECT a.item_id, a.i, b.i - a.i AS d FROM t a JOIN t b ON b.item_id = a.item_id + 1 AND a.w = b.w),
+r AS (SELECT item_id, d, i - row_number() OVER (PARTITION BY item_id, d ORDER BY i) AS g FROM m), l AS (SELECT item_id, count(*) AS n FROM r GROUP BY item_id, d, g)
+SELECT w.item_id, CAST(coalesce((SELECT max(n) FROM l WHERE l.item_id = w.item_id), 0) AS INTEGER) AS length FROM w WHERE w.item_id + 1 IN (SELECT item_id FROM w)""")
 def longest_shared_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of words that benchmark items share with their successors by id."""
     items = table(spark, sf_dir, "benchmark")
@@ -81,7 +96,8 @@ def parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.parity(rules, originals, texts.join(F.broadcast(ids), "rule_id", "left_semi"))  # ids: one a rule
 
 
-@query("rights_gate", "SELECT * FROM (VALUES ('count', 'other', 3::BIGINT), ('count', 'gone', 0::BIGINT)) AS v(problem, source, n)")
+@query("rights_gate", f"""WITH have AS (SELECT source, count(*) AS n FROM {sql_rules()} GROUP BY source), want AS (SELECT 'own' AS source, (SELECT n FROM have WHERE source = 'own') AS k UNION ALL VALUES ('other', 9), ('gone', 1))
+SELECT 'count' AS problem, want.source, coalesce(have.n, 0) AS n FROM want LEFT JOIN have ON have.source = want.source WHERE coalesce(have.n, 0) <> want.k""")
 def rights_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources whose records don't agree with the lock."""
     own = len([r for r in RULES if r.source == "own"])

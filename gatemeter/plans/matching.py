@@ -56,7 +56,24 @@ def first_match_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", start.cast("long").alias("start"), end.cast("long").alias("end")).where("start IS NOT NULL")
 
 
-@query("python_regex_spans")
+def _sql_span(rule: Rule) -> str:
+    """Start and end of the rule's span as a struct, for DuckDB; null where it doesn't match."""
+    parts = []
+    for p in rule.patterns:
+        if rule.kind.startswith("SUBSTRING"):
+            parts.append(f"CASE WHEN contains(lower(text), {quote(p.lower())}) THEN {{'start': strpos(lower(text), {quote(p.lower())}) - 1, 'end': strpos(lower(text), {quote(p.lower())}) + {len(p) - 1}}} END")
+        else:
+            full = quote(p if rule.case_sensitive else "(?i)" + p)
+            parts.append(f"CASE WHEN regexp_matches(text, {full}) THEN {{'start': strpos(text, regexp_extract(text, {full})) - 1, 'end': strpos(text, regexp_extract(text, {full})) - 1 + length(regexp_extract(text, {full}))}} END")
+    if rule.kind.endswith("_ALL"):
+        return f"CASE WHEN {' AND '.join(f'({x}) IS NOT NULL' for x in parts)} THEN {parts[0]} END"
+    return f"list_min(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))" if rule.kind == "REGEX_ANY" else f"coalesce({', '.join(parts)})"
+
+
+_spans = " UNION ALL ".join(f"SELECT doc_id, {quote(r.id)} AS rule_id, {quote(r.surface)} AS surface, {_sql_span(r)} AS s FROM documents" for r in RUNNABLE)
+
+
+@query("python_regex_spans", f"""SELECT doc_id::VARCHAR AS unit, 0 AS leaf_no, rule_id, surface, s."start" AS "start", s."end" AS "end" FROM ({_spans}) WHERE s IS NOT NULL""")
 def python_regex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with spans by Python's own regular expressions, each pair under a deadline."""
     docs = table(spark, sf_dir, "documents").withColumn("leaf_no", F.lit(0))
@@ -89,23 +106,44 @@ def utf16_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text_functions.utf16_length(F.col("text")).alias("units"), F.length("text").cast("long").alias("points"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("code_ranges")
+@query("code_ranges", """WITH t AS (SELECT doc_id, length(regexp_replace(text, '[`|"\n]', ' ', 'g')) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(n + 1 AS INTEGER) AS "start", CAST(2 * n + 12 AS INTEGER) AS "end" FROM t UNION ALL SELECT doc_id, CAST(2 * n + 12 AS INTEGER), CAST(2 * n + 18 AS INTEGER) FROM t
+UNION ALL SELECT doc_id, CAST(3 * n + 21 AS INTEGER), CAST(3 * n + 26 AS INTEGER) FROM t UNION ALL SELECT doc_id, CAST(3 * n + 28 AS INTEGER), CAST(4 * n + 32 AS INTEGER) FROM t""")
 def code_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of code in every page's source."""
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(text_functions.code_ranges_of("html")).alias("r")).select("page_id", "r.start", "r.end")
+    """Ranges of code in texts made of every document: a fence, a span in a line, a quoted cell, an open fence."""
+    t = F.regexp_replace("text", '[`|"\n]', " ")
+    made = F.concat(t, F.lit("\n```py\n"), t, F.lit("\n```\n`code` "), t, F.lit('\n|"cel"|\n```'), t, F.lit("\n"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", made.alias("made"))
+    return docs.select("doc_id", F.explode(text_functions.code_ranges_of("made")).alias("r")).select("doc_id", "r.start", "r.end")
 
 
-@query("base64_blocks")
+@query("base64_blocks", """WITH t AS (SELECT doc_id, regexp_replace(text, '[\\x{10000}-\\x{10FFFF}]', 'x', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, b.i::INTEGER AS block_no, substring(t, 1, 100000) AS block FROM t, (VALUES (0), (1)) AS b(i)
+WHERE length(regexp_replace(base64(encode(t)), '=', '', 'g')) >= 32 AND length(t) >= 10 AND len(regexp_extract_all(t, '[ -~]')) > 0.7 * length(t)""")
 def base64_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts hidden in base64 runs of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text_functions.decoded_blocks_of("text")).alias("block_no", "block"))
+    """Texts hidden in base64 runs: every document, encoded twice within other text."""
+    hidden = F.regexp_replace(F.base64(F.encode(F.regexp_replace("text", "[\\x{10000}-\\x{10FFFF}]", "x"), "UTF-8")), "[\r\n]", "")
+    made = F.concat(F.lit("see "), hidden, F.lit(" and\n"), hidden, F.lit("."))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", made.alias("made"))
+    return docs.select("doc_id", F.posexplode(text_functions.decoded_blocks_of("made")).alias("block_no", "block"))
+
+
+#: what stands under a repeat, whether it branches; repeats with their bounds (-1: none)
+ATOMS = (("ab", False), ("[a-c]", False), ("ab|cd", True), ("(?:ab)", False))
+REPEATS = (("", 1, 1), ("?", 0, 1), ("*", 0, -1), ("+", 1, -1), ("{2}", 2, 2), ("{1}", 1, 1), ("{0,3}", 0, 3), ("{1,2}?", 1, 2))
+TIMINGS = ("NULL", "false", "true")
+_repeats = ", ".join(f"({quote(q)}, {low}, {high})" for q, low, high in REPEATS)
 
 
-@query("screen_patterns")
+@query("screen_patterns", f"""SELECT '(?:' || a.p || i.q || ')' || o.q AS pattern, t.slow, CASE WHEN t.slow THEN 'measured_slow' WHEN t.slow IS NULL AND many AND (i.high > 1 OR i.high = -1 OR i.low <> i.high) THEN 'nested_quantifier'
+WHEN t.slow IS NULL AND many AND a.branches THEN 'alternation_under_repetition' END AS refusal FROM (VALUES {", ".join(f"({quote(p)}, {str(b).lower()})" for p, b in ATOMS)}) AS a(p, branches),
+(VALUES {_repeats}) AS i(q, low, high), (SELECT *, high > 1 OR high = -1 AS many FROM (VALUES {_repeats}) AS x(q, low, high)) AS o, (VALUES (NULL::BOOLEAN), (false), (true)) AS t(slow)
+UNION ALL SELECT p, s, r FROM (VALUES ('(a)\\1', NULL::BOOLEAN, 'backreference'), ('(', NULL, 'pattern_does_not_parse'), (repeat('y', 5000), NULL, 'pattern_too_long')) AS v(p, s, r)""")
 def screen_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why patterns may not run."""
-    rows = [("a+b", None), ("(a+)+", None), ("(a|b)+", None), (r"(a)\1", None), ("(", None), ("(a+)+", False), ("x", True), ("y" * 5000, None)]
-    return spark.createDataFrame(rows, "pattern string, slow boolean").select(F.substring("pattern", 1, 20).alias("pattern"), "slow", screen_pattern("pattern", "slow").alias("refusal"))
+    """Why patterns may not run: every two repeats within one another over some atoms, with and without a timing."""
+    rows = [(f"(?:{a}{i}){o}", slow) for a, _ in ATOMS for i, *_ in REPEATS for o, *_ in REPEATS for slow in (None, False, True)]
+    rows += [(r"(a)\1", None), ("(", None), ("y" * 5000, None)]
+    return spark.createDataFrame(rows, "pattern string, slow boolean").select("pattern", "slow", screen_pattern("pattern", "slow").alias("refusal"))
 
 
 @query("document_channel")

@@ -211,10 +211,18 @@ def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         max(n_chars) AS most, count_if(n_chars > 5000) AS long_ones FROM _rank_docs GROUP BY lang""")
 
 
-@query("corpus_digest", """WITH f AS (SELECT substr(h, 1, 4) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM (SELECT sha256(text) AS h FROM documents WHERE text IS NOT NULL) GROUP BY 1),
-c AS (SELECT substr(g, 1, 2) AS b, sha256(string_agg(d, chr(10) ORDER BY g)) AS d, sum(n) AS n FROM f GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS units FROM c""")
+@query("corpus_digest", """SELECT sha256(string_agg(h || chr(10), '' ORDER BY h)) AS digest, count(*) AS samples FROM (SELECT sha256(l.doc_id::VARCHAR || chr(0) || d.text || chr(0) || l.toxic::INTEGER::VARCHAR) AS h FROM labels l JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL)""")
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.corpus_digest(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    """The labelled documents as one pinned corpus."""
+    texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return measure.corpus_digest(table(spark, sf_dir, "labels").join(texts, "doc_id"), "doc_id", "text", "toxic")
+
+
+@query("corpus_tree_digest", """WITH f AS (SELECT substr(h, 1, 4) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM (SELECT sha256(text) AS h FROM documents WHERE text IS NOT NULL) GROUP BY 1),
+c AS (SELECT substr(g, 1, 2) AS b, sha256(string_agg(d, chr(10) ORDER BY g)) AS d, sum(n) AS n FROM f GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS units FROM c""")
+def corpus_tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one digest, made in three levels."""
+    return measure.corpus_tree_digest(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
 
 
 @query("report_combine", f"SELECT rule_id, stratum, trials, hits, round({_exact}, 6) AS u95 FROM ({_total.replace('rule_id, trials', 'rule_id, stratum, trials')})")

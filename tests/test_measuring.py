@@ -102,6 +102,6 @@ def test_quantiles_and_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_chars long, lang string, rule_ids array<string>")
     assert measure.nearest_index_quantiles(empty, "n_chars", [0.5]).count() == 0
     assert measure.rule_hits(empty, ["r"], {"lang": "lang"}).count() == 0 and measure.trials(empty, {}).count() == 0
-    assert measure.corpus_digest(empty).head()["units"] is None
+    assert measure.corpus_tree_digest(empty).head()["units"] is None
     nine = spark.createDataFrame([(i,) for i in range(9)], "v long")
     assert [r["value"] for r in measure.nearest_index_quantiles(nine, "v", [0.0, 0.0625, 0.1875, 1.0]).orderBy("q").collect()] == [0, 0, 2, 8]
