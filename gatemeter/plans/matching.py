@@ -9,7 +9,7 @@ from gatemeter.functions.screen import screen_pattern
 from gatemeter.model import Rule
 from gatemeter.operators import match, measure
 from gatemeter.plans.rulebook import IDS, RULES, RUNNABLE, quote, sql_findings, sql_predicate
-from gatemeter.session import table
+from gatemeter.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,13 +27,14 @@ def query(name: str, oracle: str | None = None):
 
 
 def matched(spark: SparkSession, sf_dir: str, name: str = "documents", text: str = "text") -> DataFrame:
-    return match.match_native(table(spark, sf_dir, name), list(RUNNABLE), text)
+    return match.match_native(spread(table(spark, sf_dir, name)), list(RUNNABLE), text)
 
 
 @query("rule_doc_findings", sql_findings())
 def rule_doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, rule) that matches."""
-    return matched(spark, sf_dir).select("doc_id", F.explode("rule_ids").alias("rule_id"))
+    # a plain explode would make the planner filter on the size of the array first, and match twice
+    return matched(spark, sf_dir).select("doc_id", F.explode_outer("rule_ids").alias("rule_id")).where("rule_id IS NOT NULL")
 
 
 def _one(rule_id: str):
@@ -76,7 +77,7 @@ _spans = " UNION ALL ".join(f"SELECT doc_id, {quote(r.id)} AS rule_id, {quote(r.
 @query("python_regex_spans", f"""SELECT doc_id::VARCHAR AS unit, 0 AS leaf_no, rule_id, surface, s."start" AS "start", s."end" AS "end" FROM ({_spans}) WHERE s IS NOT NULL""")
 def python_regex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with spans by Python's own regular expressions, each pair under a deadline."""
-    docs = table(spark, sf_dir, "documents").withColumn("leaf_no", F.lit(0))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("leaf_no", F.lit(0))
     return match.findings(match.match_python(docs, list(RUNNABLE), 1.0, "doc_id"))
 
 
@@ -91,7 +92,7 @@ def deadline_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("coverage_by_document", f"SELECT CAST(doc_id AS VARCHAR) AS unit, 1::BIGINT AS leaves, {len(RUNNABLE)}::BIGINT AS pairs_scheduled, {len(RUNNABLE)}::BIGINT AS pairs_finished, true AS complete FROM documents")
 def coverage_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each document was scanned by which pairs."""
-    docs = table(spark, sf_dir, "documents").withColumn("leaf_no", F.lit(0))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("leaf_no", F.lit(0))
     return match.coverage(match.match_python(docs, list(RUNNABLE), 30.0, "doc_id"))
 
 
@@ -155,7 +156,7 @@ def document_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule("d:any", "REGEX", ("licen[sc]e",), surface="CFG", bindings=(Binding("CFG", True, "any", ("licen[sc]e", "copyright"), True),)),
         Rule("d:all", "REGEX_ALL", ("token", "[0-9a-f]{8,}"), surface="CFG", bindings=(Binding("CFG", True, "all", ("token", "[0-9a-f]{8,}")),)),
     ]
-    return match.scan_documents(table(spark, sf_dir, "documents"), rules)
+    return match.scan_documents(spread(table(spark, sf_dir, "documents")), rules)
 
 
 @query("channel_bindings", "SELECT * FROM (VALUES ('d:any', 'CFG', 'any', 2::BIGINT), ('d:all', 'CFG', 'all', 2::BIGINT)) AS v(rule_id, channel, logic, n_conditions)")

@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; the path may be of any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a plain scan, dealt to all cores where it has fewer splits than there are cores.
+
+    A file is read by as many tasks as it has row groups; work on long texts then stays on one
+    core. Scans of many splits are left as they are, so large inputs aren't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
