@@ -94,7 +94,8 @@ def inside(start: Column, ranges: Column) -> Column:
 def tree_references(docs: DataFrame, keys: tuple[str, ...], doc_col: str = "doc", json_col: str = "json", root: str = "$") -> DataFrame:
     """(doc, pointer, ref): strings (or strings of arrays) under these keys at any depth.
 
-    The tree is opened level by level by a recursive query on variants, 64 levels at most.
+    The tree is opened level by level by a recursive query on variants; a tree of more than 64 levels
+    is an error.
     """
     docs.select(F.col(doc_col).alias("doc"), F.try_parse_json(F.col(json_col)).alias("v")).createOrReplaceTempView("_trees")
     names = ", ".join(f"'{k}'" for k in keys)
@@ -104,7 +105,7 @@ def tree_references(docs: DataFrame, keys: tuple[str, ...], doc_col: str = "doc"
           UNION ALL
           SELECT w.doc, w.depth + 1, concat(w.pointer, '/', coalesce(replace(replace(e.key, '~', '~0'), '/', '~1'), CAST(e.pos AS STRING))),
                  coalesce(e.key, w.own), CASE WHEN e.key IS NULL THEN w.holder ELSE w.pointer END, e.value
-          FROM walk w, LATERAL variant_explode(w.v) e WHERE w.depth < 64)
+          FROM walk w, LATERAL variant_explode(IF(w.depth <= 64, w.v, raise_error('a tree of more than 64 levels'))) e)
         SELECT doc, holder AS pointer, try_variant_get(v, '$', 'string') AS ref FROM walk
         WHERE own IN ({names}) AND schema_of_variant(v) = 'STRING'""").distinct()
 

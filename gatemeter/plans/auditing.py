@@ -46,9 +46,12 @@ def breadth_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.breadth(spark, WIDE).withColumn("probes", F.array_join("probes", ","))
 
 
-@query("rule_digests")
+@query("rule_digests", """SELECT 'n:' || n_nationkey AS rule_id, sha256('{"bindings":[],"breadth":"NARROW","case_sensitive":' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"examples":["' || n_name || ' é"],"extra":{},"id":"n:' || n_nationkey ||
+'","kind":"SUBSTRING_ANY","lineage":[],"not_runnable_reason":null,"patterns":["' || n_name || '","\\"q\\""],"restricted":false,"source":"own","source_id":"","source_path":"","surface":"OUT","title":""}') AS digest FROM nation""")
 def rule_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.digests(spark, list(RULES))
+    """Digests of rules made of the nations; their lane doesn't count."""
+    named = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # a table of a fixed size
+    return audit.digests(spark, [Rule(f"n:{k}", "SUBSTRING_ANY", (name, '"q"'), source="own", case_sensitive=k % 2 == 0, examples=(f"{name} é",), lane="ADVISE" if k % 3 == 0 else "RECORD") for k, name in named])
 
 
 BOUNDARY = [Rule("b:start", "REGEX", ("^[A-Z][a-z]+",), case_sensitive=True), Rule("b:end", "REGEX", ("[.]$",), case_sensitive=True), Rule("b:plain", "REGEX", ("token",), case_sensitive=True)]
@@ -80,20 +83,19 @@ def longest_shared_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(nxt, "item_id").select("item_id", audit.longest_run("text", "other")["length"].alias("length"))
 
 
-@query("parity_audit", "SELECT 'x' AS rule_id, 0::INTEGER AS text_no, true AS composed, true AS original WHERE false")
+@query("parity_audit", "SELECT 'p:short' AS rule_id, item_id::INTEGER AS text_no, false AS composed, true AS original FROM benchmark WHERE NOT regexp_matches(text, '(?i)tion[,.]') AND regexp_matches(text, '(?i)e[,.]')")
 def parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composed rules against their conditions on every benchmark item: no row may differ."""
+    """Composed rules against their conditions on every benchmark item: only the one that lacks a condition may differ."""
     from gatemeter.sources.yamlrules import predicate
 
     conditions = ["(?i)[A-Z]{3}", "tion[,.]", "[0-9]+"]
     rules, originals = [], {}
-    for logic in ("any", "all"):
-        kind, patterns, _ = predicate({"condition": logic, "conditions": [{"field": "content", "operator": "regex", "value": c} for c in conditions]}, None, False)
-        rules.append(Rule(f"p:{logic}", kind, tuple(patterns)))
-        originals[f"p:{logic}"] = (logic, conditions)
-    ids = spark.createDataFrame([(r.id,) for r in rules], "rule_id string")
+    for name, logic, given, own in (("p:any", "any", conditions, conditions), ("p:all", "all", conditions, conditions), ("p:short", "any", ["tion[,.]"], ["tion[,.]", "e[,.]"])):
+        kind, patterns, _ = predicate({"condition": logic, "conditions": [{"field": "content", "operator": "regex", "value": c} for c in given]}, None, False)
+        rules.append(Rule(name, kind, tuple(patterns)))
+        originals[name] = (logic, own)
     texts = table(spark, sf_dir, "benchmark").select(F.explode(F.array(*[F.lit(r.id) for r in rules])).alias("rule_id"), F.col("item_id").cast("int").alias("text_no"), "text")
-    return audit.parity(rules, originals, texts.join(F.broadcast(ids), "rule_id", "left_semi"))  # ids: one a rule
+    return audit.parity(rules, originals, texts)
 
 
 @query("rights_gate", f"""WITH have AS (SELECT source, count(*) AS n FROM {sql_rules()} GROUP BY source), want AS (SELECT 'own' AS source, (SELECT n FROM have WHERE source = 'own') AS k UNION ALL VALUES ('other', 9), ('gone', 1))

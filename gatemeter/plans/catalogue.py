@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatemeter.plans import auditing, joining, living, matching, measuring
+from gatemeter.plans import auditing, joining, living, loading, matching, measuring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (matching, measuring, joining, living, auditing):
+for _part in (matching, measuring, joining, living, auditing, loading):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

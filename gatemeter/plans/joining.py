@@ -149,16 +149,22 @@ def origin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.origins(copies, values(spark, "('o1'), ('o2'), ('o3'), ('o3')", "id"))
 
 
-@query("without_copies", "SELECT * FROM (VALUES ('a', NULL), ('c', 'zz'), ('d', NULL)) AS v(id, duplicate_of)")
+@query("without_copies", "SELECT p_partkey AS id, copy AS duplicate_of FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey * 2 WHEN 1 THEN -1 END AS copy FROM part) WHERE copy IS NULL OR copy NOT IN (SELECT p_partkey FROM part)")
 def without_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "zz"), ("d", None)], "id string, duplicate_of string")
+    """Parts as rules, some said to be copies of others that may not be there."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN p_partkey * 2 WHEN 1 THEN -1 END").alias("duplicate_of"))
     return lookups.without_copies(rows)
 
 
-@query("alias_linkage", "SELECT * FROM (VALUES ('s1', 'linked', 'r1'), ('s2', 'ambiguous', NULL), ('s3', 'unmatched', NULL), ('s4', 'unmatched', NULL)) AS v(case_id, status, rule_id)")
+@query("alias_linkage", """WITH a AS (SELECT c_custkey, unnest(['NATION_' || c_nationkey, 'NATION_' || (c_nationkey + c_custkey % 3)]) AS alias FROM customer UNION ALL SELECT -1 - n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE NULL END FROM nation),
+k AS (SELECT c_custkey, count(DISTINCT s_suppkey % 7) AS n, min(s_suppkey % 7) AS r FROM a LEFT JOIN supplier ON 'NATION_' || s_nationkey = alias GROUP BY 1)
+SELECT c_custkey AS case_id, CASE n WHEN 0 THEN 'unmatched' WHEN 1 THEN 'linked' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN r END AS rule_id FROM k""")
 def alias_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = spark.createDataFrame([("s1", ["x", "y"]), ("s2", ["x", "z"]), ("s3", ["q"]), ("s4", [])], "case_id string, aliases array<string>")
-    return lookups.aliases(cases, values(spark, "('r1', 'x'), ('r1', 'y'), ('r2', 'z')", "rule_id, alias"))
+    """Customers and nations as scenarios, linked by alias to suppliers' rules."""
+    name = lambda c: F.concat(F.lit("NATION_"), c)
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.array(name(F.col("c_nationkey")), name(F.col("c_nationkey") + F.col("c_custkey") % 3)).alias("aliases"))
+    more = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey").cast("long")).alias("case_id"), F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name")).otherwise(F.array().cast("array<string>")).alias("aliases"))
+    return lookups.aliases(cases.unionByName(more), table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 7).alias("rule_id"), name(F.col("s_nationkey")).alias("alias")))
 
 
 @query("timing_join", """SELECT rule_id, pattern, substr(sha256(pattern), 1, 16) AS fingerprint, CASE pattern WHEN 'a+' THEN 'slow' WHEN 'b' THEN 'fast' END AS verdict FROM (VALUES ('r1', 'a+'), ('r2', 'b'), ('r2', 'c')) AS v(rule_id, pattern)""")
@@ -171,13 +177,14 @@ def timing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.timed(values(spark, "('r1', 'a+'), ('r2', 'b'), ('r2', 'c')", "rule_id, pattern"), lookups.timing_table(sweep)).select("rule_id", "pattern", "fingerprint", "verdict")
 
 
-@query("untimed_patterns", "SELECT * FROM (VALUES ('c', 'r1,r2')) AS v(pattern, rules)")
+@query("untimed_patterns", "SELECT p_type || p_size AS pattern, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS rules FROM part WHERE p_type || p_size NOT IN (SELECT p_type || p_size FROM part WHERE p_brand = 'Brand#1') GROUP BY 1")
 def untimed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of the brands' rules that the first brand's timings don't know."""
     from gatemeter.functions.screen import fingerprint
 
-    known = values(spark, "('a+'), ('b')", "p").select(fingerprint(F.col("p")).alias("fingerprint"))
-    out = lookups.untimed(values(spark, "('r1', 'a+'), ('r2', 'b'), ('r2', 'c'), ('r1', 'c')", "rule_id, pattern"), known)
-    return out.select("pattern", F.array_join("rule_ids", ",").alias("rules"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("rule_id"), F.concat("p_type", "p_size").alias("pattern"))
+    known = rows.where("rule_id = 'Brand#1'").select(fingerprint(F.col("pattern")).alias("fingerprint"))
+    return lookups.untimed(rows, known).select("pattern", F.array_join("rule_ids", ",").alias("rules"))
 
 
 @query("call_result_pairing", """WITH c AS (SELECT conv_id, turn FROM conversations WHERE role = 'user' GROUP BY ALL), r AS (SELECT conv_id, turn - 1 AS turn, count(DISTINCT coalesce(sha256(text), '')) AS n, count(*) FILTER (text IS NULL) AS bad FROM conversations WHERE role = 'assistant' GROUP BY ALL),
@@ -247,19 +254,24 @@ def prose_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", classify.prose(F.col("text")).alias("prose"))
 
 
-_paths = "('docs/SKILL.md'), ('a/b.agent.md'), ('README.rst'), ('src/Attack.PY'), ('Makefile'), ('x/.hidden')"
+#: Paths made of documents; the names are those that count as types.
+_path = "concat(coalesce(lang, 'x'), '/', CASE doc_id % 7 WHEN 0 THEN 'docs/SKILL.md' WHEN 1 THEN 'b.agent.md' WHEN 2 THEN 'README.rst' WHEN 3 THEN 'src/Attack.PY' WHEN 4 THEN 'Makefile' WHEN 5 THEN '.hidden' ELSE concat(coalesce(source, 'x'), '.d/n', doc_id, '.Tar') END)"
 
 
-@query("file_types", "SELECT * FROM (VALUES ('docs/SKILL.md', 'SKILL.md', 'ordinary'), ('a/b.agent.md', '.agent.md', 'ordinary'), ('README.rst', 'README', 'ordinary'), ('src/Attack.PY', '.py', 'security-adjacent'), ('Makefile', 'no_extension', 'ordinary'), ('x/.hidden', 'no_extension', 'ordinary')) AS v(path, file_type, prose)")
+@query("file_types", rf"""SELECT doc_id, CASE WHEN name = 'SKILL.md' THEN name WHEN ends_with(name, '.agent.md') THEN '.agent.md' WHEN starts_with(lower(name), 'readme') THEN 'README' WHEN regexp_matches(name, '^.+\.[^.]+$') THEN lower(regexp_extract(name, '(\.[^.]+)$', 1)) ELSE 'no_extension' END AS file_type,
+CASE WHEN contains(lower(name), 'attack') THEN 'security-adjacent' ELSE 'ordinary' END AS prose FROM (SELECT doc_id, string_split({_path}, '/')[-1] AS name FROM documents)""")
 def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _paths, "path").select("path", classify.file_type(F.col("path")).alias("file_type"), classify.path_prose(F.col("path")).alias("prose"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_path).alias("path")).select("doc_id", classify.file_type(F.col("path")).alias("file_type"), classify.path_prose(F.col("path")).alias("prose"))
 
 
-@query("lineage_fields", "SELECT * FROM (VALUES ('someone (corpus A)', 'corpus_or_benchmark', '(corpus A)'), ('Team', 'project_attribution', ''), ('other (x) (y)', 'other_attribution', '(x)|(y)')) AS v(author, classification, spans)")
+_author = "CASE c_custkey % 4 WHEN 0 THEN concat(c_name, ' (corpus ', c_mktsegment, ')') WHEN 1 THEN 'Team' WHEN 2 THEN concat(c_name, ' (', c_mktsegment, ') (y)') END"
+
+
+@query("lineage_fields", f"SELECT c_custkey, CASE WHEN contains(lower(author), 'corpus') THEN 'corpus_or_benchmark' WHEN author = 'Team' THEN 'project_attribution' ELSE 'other_attribution' END AS classification, coalesce(array_to_string(regexp_extract_all(author, '\\([^()]*\\)'), '|'), '') AS spans FROM (SELECT c_custkey, coalesce({_author}, '') AS author FROM customer)")
 def lineage_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, "('someone (corpus A)'), ('Team'), ('other (x) (y)')", "author")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.expr(_author), F.lit("")).alias("author"))
     found = classify.lineage(F.col("author"), ("Team",))
-    return rows.select("author", found["classification"].alias("classification"), F.array_join(found["spans"], "|").alias("spans"))
+    return rows.select("c_custkey", found["classification"].alias("classification"), F.array_join(found["spans"], "|").alias("spans"))
 
 
 @query("origin_ids", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://m\\.[^/]*/') THEN nullif(regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1), '') END AS origin FROM pages")
@@ -310,12 +322,26 @@ def boolean_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", column(tree, {"content": F.col("text")}).alias("fired"))
 
 
-@query("boolean_mapping")
+#: Selections with what they say, and conditions over two of them.
+_SELECTIONS = {"any": ("content|contains", ["x", "y"], ["z", "w"]), "all": ("content|contains|all", ["x", "y"], ["z", "w"]), "re": ("content|re", "x+", "z+"), "wild": ("content|contains", "x*", "z*"), "two": ("content|contains", "x", "z")}
+_CONDITIONS = ("a", "not a", "a or b", "b and a", "1 of them", "all of them", "a and", "not (a or b)", "(a)", "a or c")
+_mapping = f"""WITH s AS (SELECT * FROM (VALUES ('any', 'x|y', 'z|w'), ('all', 'x|y', 'z|w'), ('re', 'x+', 'z+'), ('wild', '', ''), ('two', 'x', 'z')) AS v(shape, first, other)), c AS (SELECT * FROM (VALUES {", ".join(f"('{c}')" for c in _CONDITIONS)}) AS v(said)),
+k AS (SELECT *, CASE WHEN said = 'a and' THEN 'unknown_condition_token:None' WHEN said = 'a or c' THEN 'unknown_condition_token:c' WHEN shape = 'two' AND contains(said, 'b') OR shape = 'two' AND contains(said, 'them') THEN 'multiple_payload_fields' WHEN shape = 'wild' THEN 'wildcard_value' END AS issue,
+CASE WHEN said IN ('a', '(a)') THEN CASE shape WHEN 'all' THEN 'SUBSTRING_ALL' WHEN 're' THEN 'REGEX' WHEN 'wild' THEN NULL ELSE 'SUBSTRING_ANY' END
+WHEN said IN ('a or b', '1 of them') AND shape IN ('any', 'two') THEN 'SUBSTRING_ANY' WHEN said IN ('b and a', 'all of them') THEN CASE shape WHEN 'all' THEN 'SUBSTRING_ALL' WHEN 'two' THEN 'SUBSTRING_ALL' WHEN 're' THEN 'REGEX_ALL' END END AS flat FROM s, c)
+SELECT concat(shape, ':', said) AS name, CASE WHEN issue IS NULL THEN coalesce(flat, 'NONE') ELSE 'NONE' END AS kind, CASE WHEN issue IS NOT NULL OR flat IS NULL THEN '' WHEN said IN ('a', '(a)') THEN first WHEN said = 'b and a' THEN concat(other, '|', first) ELSE concat(first, '|', other) END AS patterns,
+concat_ws(',', CASE WHEN flat IS NULL THEN 'boolean_tree_requires_structured_runtime' END, issue) AS issues FROM k"""
+
+
+@query("boolean_mapping", _mapping)
 def boolean_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boolean rules as flat rules, or the codes for which they are refused."""
-    given = [
-        ("any", {"a": {"content|contains": ["x", "y"]}, "condition": "a"}), ("all", {"a": {"content|contains|all": ["x", "y"]}, "condition": "a"}), ("both", {"a": {"content|re": "x+"}, "b": {"content|re": "y+"}, "condition": "all of them"}),
-        ("tree", DETECTION), ("wild", {"a": {"content|contains": "x*"}, "condition": "a"}), ("fields", {"a": {"content|contains": "x", "command|contains": "y"}, "condition": "a"}), ("broken", {"a": {"content|contains": "x"}, "condition": "a and"}),
-    ]
-    rows = [(name, m[0], "|".join(m[1]), ",".join(m[3])) for name, m in ((name, mapped(d)) for name, d in given)]
+    """Boolean rules as flat rules, or the codes for which they are refused: every selection under every condition.
+
+    The second selection of `two` reads another field.
+    """
+    rows = []
+    for shape, (key, first, other) in _SELECTIONS.items():
+        for said in _CONDITIONS:
+            kind, patterns, _, issues, *_ = mapped({"a": {key: first}, "b": {"command|contains" if shape == "two" else key: other}, "condition": said})
+            rows.append((f"{shape}:{said}", kind, "|".join(patterns), ",".join(issues)))
     return spark.createDataFrame(rows, "name string, kind string, patterns string, issues string")

@@ -63,7 +63,7 @@ def event_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.decisions(payloads(spark, sf_dir), RULES, LANES, config).select("event_id", "action", "incomplete")
 
 
-@query("redact_leaves")
+@query("redact_leaves", f"""SELECT doc_id AS event_id, concat('{{"body": "{events.WITHHELD}", "tags": [', CASE WHEN lang IS NULL THEN 'null' ELSE concat('"', lang, '"') END, ']}}') AS updated FROM documents WHERE doc_id % 2 = 0 AND {_d}""")
 def redact_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads with the withheld leaves replaced."""
     config = events.Config(limits=events.Limits(seconds=30.0))

@@ -147,16 +147,33 @@ def screen_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "pattern string, slow boolean").select("pattern", "slow", screen_pattern("pattern", "slow").alias("refusal"))
 
 
-@query("document_channel")
+_any, _all = ("licen[sc]e", "copyright"), ("token", "[0-9a-f]{8,}")
+_channel = f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[`|"\n]', ' ', 'g'), '[\\x{{10000}}-\\x{{10FFFF}}]', 'x', 'g') AS t FROM documents),
+m AS (SELECT doc_id, t, CASE doc_id % 3 WHEN 0 THEN t WHEN 1 THEN concat('```', chr(10), t, chr(10), '```') ELSE concat('see ', base64(encode(t)), '.') END AS made, doc_id % 3 = 1 AS code,
+doc_id % 3 = 2 AND length(regexp_replace(base64(encode(t)), '=', '', 'g')) >= 32 AND length(t) >= 10 AND len(regexp_extract_all(t, '[ -~]')) > 0.7 * length(t) AS hidden FROM t),
+r AS (SELECT doc_id, length(made) <= 100000 AS complete, CASE WHEN code THEN NULL WHEN regexp_matches(made, '(?i){_any[0]}') THEN 0 WHEN regexp_matches(made, '(?i){_any[1]}') THEN 1 END AS any_doc, CASE WHEN NOT hidden THEN NULL WHEN regexp_matches(t, '(?i){_any[0]}') THEN 0 WHEN regexp_matches(t, '(?i){_any[1]}') THEN 1 END AS any_block,
+CASE WHEN regexp_matches(made, '(?i){_all[0]}') AND regexp_matches(made, '(?i){_all[1]}') THEN 0 END AS all_doc, CASE WHEN hidden AND regexp_matches(t, '(?i){_all[0]}') AND regexp_matches(t, '(?i){_all[1]}') THEN 0 END AS all_block FROM m),
+f AS (SELECT doc_id, 'd:any' AS rule_id, coalesce(any_doc, any_block) AS i, CASE WHEN any_doc IS NULL THEN 'base64' ELSE 'document' END AS origin FROM r WHERE complete AND coalesce(any_doc, any_block) IS NOT NULL
+UNION ALL SELECT doc_id, 'd:all', coalesce(all_doc, all_block), CASE WHEN all_doc IS NULL THEN 'base64' ELSE 'document' END FROM r WHERE complete AND coalesce(all_doc, all_block) IS NOT NULL)
+SELECT doc_id::VARCHAR AS unit, rule_id, i::INTEGER AS condition_index, origin, true AS complete FROM f UNION ALL SELECT doc_id::VARCHAR, NULL, NULL, NULL, complete FROM r WHERE doc_id NOT IN (SELECT doc_id FROM f)"""
+
+
+@query("document_channel", _channel)
 def document_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents and blocks hidden in them against the rules that are bound to documents."""
+    """Documents, some as code and some hidden in base64, against the rules that are bound to documents.
+
+    Matches in code don't count for the first rule; a document of over 100,000 units is unfinished.
+    """
     from gatemeter.model import Binding
 
     rules = [
-        Rule("d:any", "REGEX", ("licen[sc]e",), surface="CFG", bindings=(Binding("CFG", True, "any", ("licen[sc]e", "copyright"), True),)),
-        Rule("d:all", "REGEX_ALL", ("token", "[0-9a-f]{8,}"), surface="CFG", bindings=(Binding("CFG", True, "all", ("token", "[0-9a-f]{8,}")),)),
+        Rule("d:any", "REGEX", (_any[0],), surface="CFG", bindings=(Binding("CFG", True, "any", _any, True),)),
+        Rule("d:all", "REGEX_ALL", _all, surface="CFG", bindings=(Binding("CFG", True, "all", _all),)),
     ]
-    return match.scan_documents(spread(table(spark, sf_dir, "documents")), rules)
+    t = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), '[`|"\n]', " "), "[\\x{10000}-\\x{10FFFF}]", "x")
+    hidden = F.concat(F.lit("see "), F.regexp_replace(F.base64(F.encode(t, "UTF-8")), "[\r\n]", ""), F.lit("."))
+    made = F.when(F.col("doc_id") % 3 == 0, t).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```\n"), t, F.lit("\n```"))).otherwise(hidden)
+    return match.scan_documents(spread(table(spark, sf_dir, "documents")).select("doc_id", made.alias("text")), rules, 30.0)
 
 
 @query("channel_bindings", "SELECT * FROM (VALUES ('d:any', 'CFG', 'any', 2::BIGINT), ('d:all', 'CFG', 'all', 2::BIGINT)) AS v(rule_id, channel, logic, n_conditions)")

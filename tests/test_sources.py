@@ -181,3 +181,13 @@ def test_small_sources(spark, tmp_path):
     corpora.write_report(declared, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
     assert bundles.starter()[0].kind == "SUBSTRING_ALL" and F is not None
+
+
+def test_deep_trees_are_an_error(spark):
+    from gatemeter.operators.lookups import tree_references
+
+    nested = lambda n: '{"a":' * n + '{"ave_id": "x"}' + "}" * n
+    docs = lambda n: spark.createDataFrame([("d", nested(n))], "doc string, json string")
+    assert tree_references(docs(60), ("ave_id",)).collect()[0]["pointer"] == "/a" * 60
+    with pytest.raises(Exception, match="more than 64 levels"):
+        tree_references(docs(70), ("ave_id",)).collect()
