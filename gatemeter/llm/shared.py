@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset and all is one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
+from gatemeter.session import delete_folder, fresh_folder
 
 #: Bytes of an Arrow batch while scratch tables are written; rows with whole sets are wide.
 BATCH_BYTES = 8 << 20
@@ -31,9 +17,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, batch_bytes: int = BATCH_BYTES):
         self.spark = spark
         self.batch_bytes = batch_bytes
-        self.top = f"{folder(spark)}/{uuid.uuid4().hex}"
+        self.top = fresh_folder(spark)
         self.count = 0
-        atexit.register(self.clear)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """The rows of df, written and read again."""
@@ -51,13 +36,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self._delete(t.scratch_path)
+            delete_folder(self.spark, t.scratch_path)
 
     def clear(self) -> None:
         """Delete all tables of the run, if the session still stands."""
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.top)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete_folder(self.spark, self.top)

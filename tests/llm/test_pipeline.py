@@ -66,3 +66,21 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DDL).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edge_cases_of_all_stages(spark, tmp_path):
+    """Null ids stay, a repeated row is one, another text under the same id stays, empty texts are rejected, long ones are whole."""
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(n))
+    a, b, c, long = text(60), text(70), text(50), text(60_000)
+    rows = [(None, c, None, None, None), (1, a, "en", "s", 3), (1, a, "en", "s", 3), (1, b, None, "s", None), (2, a, "en", None, 1), (3, None, None, None, None), (4, "", "en", "s", 0), (5, long, None, None, None)]
+    assert all(quality_of(t)["kept"] for t in (a, b, c, long))
+    spark.createDataFrame(rows, DDL).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    coder = WordBpe(vocabulary("word_bpe_49k.json"))
+    want = sorted((-1 if i is None else i, len(coder.encode(t)) + 1) for i, t in ((None, c), (1, a), (1, b), (5, long)))
+    assert sorted((-1 if p["doc_id"] is None else p["doc_id"], p["doc_tokens"]) for p in got if p["start"] == 0) == want
+    total = defaultdict(int)
+    for p in got:
+        total[p["doc_id"], p["doc_tokens"]] += p["length"]
+    assert all(n == tokens for (_, tokens), n in total.items())
