@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. ``run`` applies them one after another to documents.
+
+Null texts count as empty: quality rules reject them, as they do all under ten words. Long texts
+are judged, cleaned and packed whole. Near-duplicates keep rows of null ids, one of repeated rows,
+and another text under the same id; of a group of copies the least id stays, and of equal ids the
+least digest. Columns beside those of documents are carried on under their names, but for packing.
+Empty tables give empty tables.
 """
 
 from __future__ import annotations
