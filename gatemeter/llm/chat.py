@@ -6,10 +6,12 @@ more if some stand there), so texts read back exactly. Every assistant turn is a
 its own: all turns before it are its context and only its reply is under the loss.
 
 Written out, the examples of a conversation repeat their contexts, with the square of its
-turns. So ``format_conversations`` keeps, for each example, only its *piece*: what the
+turns. ``format_conversations`` keeps, for each example, only its *piece*: what the
 transcript holds after the example before it, up to the end of its own reply. An example's
 text is the opening mark and all pieces up to its own. ``examples`` explodes them, one row per
-assistant turn; with ``with_text`` each row holds its whole text, else its piece.
+assistant turn; with ``with_text`` each row holds its whole text, else its piece. Texts are
+written out row by row after the explosion, so a task holds one of them at a time. The query
+reads its digests back from whole texts.
 
 Defined results: null texts and roles count as empty; turns go by (turn, role, text), nulls
 first, so ties and repeated rows all stand; a null conv_id is a conversation of its own; a
@@ -88,6 +90,20 @@ def transcript() -> Column:
     return F.concat(F.lit(BOS), F.array_join(F.transform("examples", lambda e: e["piece"]), ""), F.col("rest"))
 
 
+def _written(formatted: DataFrame, explode: Callable[[Column], Column]) -> DataFrame:
+    """conv_id, example, loss_start, loss_end, text, last (whether it is the last example), rest.
+
+    With an outer explosion a conversation without examples has one row: the opening mark and its rest.
+    """
+    # generated code would hold all rows of an explosion at once; over a lambda's result Spark makes them one by one
+    spans = F.transform("examples", lambda e: F.struct(e["example"].alias("example"), e["loss_start"].alias("loss_start"), e["loss_end"].alias("loss_end"), F.length(e["piece"]).alias("chars")))
+    rows = formatted.select("conv_id", "rest", F.col("examples.piece").alias("pieces"), explode(spans))
+    taken = F.coalesce(F.col("example") + 1, F.lit(0))
+    rows = rows.select("*", F.concat(F.lit(BOS), F.array_join(F.slice("pieces", 1, taken), "")).alias("text"))
+    shift = F.length("text") - F.col("chars")
+    return rows.select("conv_id", "example", (F.col("loss_start") + shift).alias("loss_start"), (F.col("loss_end") + shift).alias("loss_end"), "text", (taken == F.size("pieces")).alias("last"), "rest")
+
+
 def examples(formatted: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per assistant turn: conv_id, example, loss_start, loss_end and its text, or its piece.
 
@@ -95,10 +111,7 @@ def examples(formatted: DataFrame, with_text: bool = True) -> DataFrame:
     """
     if not with_text:
         return formatted.select("conv_id", F.inline("examples"))
-    whole = lambda e: F.concat(F.lit(BOS), F.array_join(F.transform(F.slice("examples", 1, e["example"] + 1), lambda x: x["piece"]), ""))
-    shift = lambda e, t: F.length(t) - F.length(e["piece"])
-    row = lambda e: _with(whole(e), lambda t: F.struct(e["example"].alias("example"), (e["loss_start"] + shift(e, t)).alias("loss_start"), (e["loss_end"] + shift(e, t)).alias("loss_end"), t.alias("text")))
-    return formatted.select("conv_id", F.inline(F.transform("examples", row)))
+    return _written(formatted, F.inline).select("conv_id", "example", "loss_start", "loss_end", "text")
 
 
 def read_turns(transcript: Column) -> Column:
@@ -116,30 +129,30 @@ def read_turns(transcript: Column) -> Column:
 
 
 def query(turns: DataFrame) -> DataFrame:
-    """What the examples of the formatted conversations say, read back from them, with conversation -7 added."""
+    """What the written examples of the conversations say, read back from their texts, with conversation -7 added."""
     said = turns.sparkSession.sql(
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
     )
-    formatted = format_conversations(turns.select("conv_id", "turn", "role", "text").unionByName(said))
-    rest = F.array(F.struct(F.lit(None).cast("int").alias("example"), F.col("rest").alias("piece"), F.lit(0).alias("loss_start"), F.lit(0).alias("loss_end")))
-    # what follows the last reply stands in a row that is no example
-    rows = examples(formatted.select("conv_id", F.concat("examples", rest).alias("examples")), with_text=False)
-    back = rows.select(
-        "conv_id", "example", F.length("piece").alias("chars"), "loss_start", read_turns(F.col("piece")).alias("turns"),
-        unescape(F.expr("substring(piece, loss_start + 1, loss_end - loss_start)")).alias("loss"),
+    return _read_back(_written(format_conversations(turns.select("conv_id", "turn", "role", "text").unionByName(said)), F.inline_outer))
+
+
+def _read_back(written: DataFrame) -> DataFrame:
+    """Turns from the text of the last example and the rest after it, replies from each text by its loss span."""
+    whole = F.concat("text", "rest")
+    back = written.select(
+        "conv_id", "example", "loss_start", unescape(F.expr("substring(text, loss_start + 1, loss_end - loss_start)")).alias("loss"),
+        F.when(F.col("last"), F.length(whole)).alias("chars"), F.when(F.col("last"), read_turns(whole)).alias("turns"),
     )
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    row = F.struct(F.coalesce("example", F.lit(2**31 - 1)).alias("example"), "chars", "loss_start", told.alias("told"), "loss")
-    whole = back.groupBy("conv_id").agg(F.sum(F.size("turns")).alias("n_turns"), F.sort_array(F.collect_list(row)).alias("rows"), F.count("example").alias("n_examples"))
-    start = F.struct(F.lit(len(BOS)).cast("long").alias("at"), F.lit(0).cast("long").alias("context"))
-    step = lambda s, x: F.struct((s["at"] + x["chars"]).alias("at"), (s["context"] + F.when(x["example"] < 2**31 - 1, s["at"] + x["loss_start"]).otherwise(0)).alias("context"))
-    joined = whole.select(
-        "conv_id", "n_turns", "n_examples", F.aggregate("rows", start, step).alias("sums"),
-        F.array_join(F.transform("rows", lambda x: x["told"]), "").alias("told"), F.array_join(F.transform("rows", lambda x: x["loss"]), "").alias("loss"),
+    row = F.struct("example", "loss")
+    joined = back.withColumn("told", F.when(F.col("turns").isNotNull(), F.sha2(told, 256))).groupBy("conv_id").agg(
+        F.max(F.when(F.col("turns").isNotNull(), F.size("turns"))).cast("long").alias("n_turns"), F.max("told").alias("told"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["loss"]), "").alias("loss"),
+        F.max("chars").cast("long").alias("chars"), F.count("example").alias("n_examples"), F.coalesce(F.sum("loss_start"), F.lit(0)).cast("long").alias("context_chars"),
     )
     return joined.select(
-        "conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-        F.col("sums.at").alias("formatted_chars"), "n_examples", F.col("sums.context").alias("context_chars"),
+        "conv_id", "n_turns", F.col("told").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("chars").alias("formatted_chars"), "n_examples", "context_chars",
     )
 
 

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gatemeter.llm import chat
 from gatemeter.llm.chat import examples, format_conversations, query, read_turns, transcript
 
 DDL = "conv_id bigint, turn bigint, role string, text string"
@@ -67,3 +68,21 @@ def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], DDL + ", transcript string, examples int")
     assert [r["conv_id"] for r in query(empty).collect()] == [-7]
     assert format_conversations(empty).count() == 0
+
+
+def test_query_reads_whole_examples(spark, monkeypatch):
+    """Each row that the query digests holds all turns before its reply, and the digests follow from these texts."""
+    given = [x for x in rows() if x[0] in (3, 50, 60)] + [(70, 0, "user", "no reply")]
+    seen, read = [], chat._read_back
+    monkeypatch.setattr(chat, "_read_back", lambda written: seen.append(written) or read(written))
+    plain = {r["conv_id"]: r for r in query(spark.createDataFrame(given, DDL)).collect()}
+    texts = {}
+    for r in seen[0].select("*", read_turns(F.col("text")).alias("turns")).orderBy("conv_id", "example").collect():
+        texts.setdefault(r["conv_id"], []).append(r)
+    for k, turns in expected(given).items():
+        replies = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+        assert [[tuple(x) for x in r["turns"]] for r in texts[k]] == ([turns[: i + 1] for i in replies] or [[]])
+        assert plain[k]["context_chars"] == sum(r["loss_start"] or 0 for r in texts[k])
+    monkeypatch.setattr(chat, "_read_back", lambda written: read(written.withColumn("text", F.regexp_replace("text", "turn 0 ", "other "))))
+    changed = {r["conv_id"]: r for r in query(spark.createDataFrame(given, DDL)).collect()}
+    assert {k for k in plain if plain[k]["turns_sha256"] != changed[k]["turns_sha256"]} == {60}
