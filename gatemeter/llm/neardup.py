@@ -263,18 +263,20 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
     """doc_id, n_shingles, component_id (the least id reachable), kept, class_id, for every row."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.cut(_described(docs, rules, id_col, text_col))
-    named = scratch.cut(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
+    n = rows.count()
+    named = scratch.cut(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), n)
     classes = scratch.cut(
         rows.where("n_shingles > 0").join(named.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("of")), "doc_id").where("of = set_key")
-        .select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "set_key").dropDuplicates(["set_key"])
+        .select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "set_key").dropDuplicates(["set_key"]),
+        n,
     )
     keyed = scratch.cut(_keyed(classes, rules))
-    shared_keys = scratch.cut(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("key", "pivot"))
+    shared_keys = scratch.cut(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most").select("key", "pivot"), n * rules.values // 2)
     groups = scratch.cut(keyed.join(shared_keys, "key").select("key", "rep", "pivot"))
     scratch.drop(shared_keys, keyed)
-    wanted = scratch.cut(groups.select("rep").distinct())
+    wanted = scratch.cut(groups.select("rep").distinct(), n)
     sets = scratch.cut(_sets(docs, wanted, wanted.count(), rules, id_col, text_col))
-    light = scratch.cut(classes.join(wanted, "rep", "left_semi").select("rep", "n_shingles", "sig"))
+    light = scratch.cut(classes.join(wanted, "rep", "left_semi").select("rep", "n_shingles", "sig"), n)
     scratch.drop(wanted, classes)
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -283,7 +285,7 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
         may = pairs.join(a, "a").join(b, "b").where(_sizes(rules)).where(distance("sa", "sb", rules) <= rules.max_distance)
         return may.select("a", "b")
 
-    tried = scratch.cut(groups.where("rep <> pivot").groupBy(F.col("rep").alias("a")).agg(F.min("pivot").alias("b")))
+    tried = scratch.cut(groups.where("rep <> pivot").groupBy(F.col("rep").alias("a")).agg(F.min("pivot").alias("b")), n)
     edges = scratch.cut(_confirmed(close(tried), sets, rules))
     labels = None
     for last in (False, True):
@@ -321,7 +323,7 @@ def linked(docs: DataFrame, rules: NearRules = DEFAULT, id_col: str = "doc_id",
         scratch.drop(labels)
         labels = components(edges, scratch)
     scratch.drop(sets, light, tried, groups, edges)
-    of_set = scratch.cut(named.join(labels, named["rep"] == labels["v"], "left").select(F.col("set_key").alias("of_key"), F.coalesce("label", "rep").alias("component"), F.col("rep").alias("class_id")))
+    of_set = scratch.cut(named.join(labels, named["rep"] == labels["v"], "left").select(F.col("set_key").alias("of_key"), F.coalesce("label", "rep").alias("component"), F.col("rep").alias("class_id")), n)
     scratch.drop(named, labels)
     of_id = rows.join(of_set, rows["set_key"] == of_set["of_key"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -124,3 +125,23 @@ def test_components_of_long_paths_and_stars(spark):
     got = {r["v"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[300] == got[250] == 200
     assert components(spark.createDataFrame([], "a bigint, b bigint").select(F.col("a"), F.col("b")), Scratch(spark)).count() == 0
+
+
+def test_scratch_tables_are_few_plain_files(spark, tmp_path):
+    """Every file of a local folder, one of checksums too, has executors start processes, and then their memory counts twice."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        scratch = Scratch(spark)
+        edges = spark.createDataFrame([(i, i // 2) for i in range(1, 500)], "a bigint, b bigint").repartition(40)
+        some, all_ = scratch.cut(edges, 499), scratch.cut(edges)
+        labels = components(edges, scratch)
+        assert {r["label"] for r in labels.collect()} == {0} and labels.count() == 500 and some.count() == all_.count() == 499
+        top = scratch.top.removeprefix("file://")
+        files = [os.path.join(d, x) for d, _, names in os.walk(top) for x in names]
+        assert files and all(x.endswith(".parquet") for x in files), files
+        count = lambda table: len(os.listdir(table.scratch_path.removeprefix("file://")))
+        assert count(all_) > 20 and count(some) <= 4 and count(labels) <= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
