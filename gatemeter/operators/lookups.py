@@ -37,10 +37,12 @@ def aliases(cases: DataFrame, names: DataFrame) -> DataFrame:
 
     `cases` (case_id, aliases: array), `names` (rule_id, alias).
     """
-    met = cases.select("case_id", F.explode_outer("aliases").alias("alias")).join(names, "alias", "left")
-    one = met.groupBy("case_id").agg(F.countDistinct("rule_id").alias("n"), F.min("rule_id").alias("rule_id"))
-    status = F.when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "linked").otherwise("ambiguous")
-    return one.select("case_id", status.alias("status"), F.when(F.col("n") == 1, F.col("rule_id")).alias("rule_id"))
+    each = names.groupBy("alias").agg(F.min("rule_id").alias("least"), F.max("rule_id").alias("most"))  # a row an alias, however many rules bear it
+    met = cases.select("case_id", F.explode_outer("aliases").alias("alias")).join(each, "alias", "left")
+    one = met.groupBy("case_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    linked = F.col("least") == F.col("most")
+    status = F.when(F.col("least").isNull(), "unmatched").when(linked, "linked").otherwise("ambiguous")
+    return one.select("case_id", status.alias("status"), F.when(linked, F.col("least")).alias("rule_id"))
 
 
 def timed(patterns: DataFrame, timings: DataFrame) -> DataFrame:
