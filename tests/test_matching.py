@@ -134,6 +134,24 @@ def test_hidden_blocks_and_documents():
     assert match.scan_document("see `licence` now", match.bound(rules)) == [] and match.scan_document("licence", match.bound(rules)) == [("any", 1, "document")]
 
 
+def test_batches_are_decoded_in_parts(spark, monkeypatch):
+    import base64
+
+    import pyarrow as pa
+
+    said = [f"hidden text number {i} " * (1 + 40 * (i % 7 == 0)) for i in range(300)]
+    texts = [None if i % 50 == 3 else "" if i % 50 == 4 else f"see {base64.b64encode(t.encode()).decode()}." for i, t in enumerate(said)]
+    want = [tx.decoded_blocks(t or "") for t in texts]
+    assert spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", tx.decoded_blocks_of("t")).orderBy("i").toPandas().iloc[:, 1].map(list).tolist() == want
+    monkeypatch.setattr(tx.parts, "__defaults__", (2000,))
+    column = pa.array(["not of the slice", *texts])[1:]
+    runs = list(tx.parts(column))
+    assert [i for at, n in runs for i in range(at, at + n)] == list(range(300))
+    assert all(n == 1 or sum(len(t or "") for t in texts[at : at + n]) <= 2000 for at, n in runs) and len(runs) < 150
+    made = list(tx.decoded_blocks_of.func(iter([column, column[:0]])))
+    assert [x for m in made for x in m.to_pylist()] == want and [len(m) for m in made] == [n for _, n in runs] + [0]
+
+
 def test_document_scan_is_incomplete_when_long_or_without_rules(spark):
     rules = [Rule("any", "REGEX", ("x",), bindings=(Binding("CFG", True, "any", ("x",)),))]
     docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y" * 200), (4, None)], "doc_id long, text string")
