@@ -160,6 +160,28 @@ def test_document_scan_is_incomplete_when_long_or_without_rules(spark):
     assert {r["complete"] for r in match.scan_documents(docs, []).collect()} == {False}
 
 
+def test_few_documents_of_a_batch_are_held(spark):
+    import pyarrow as pa
+
+    class Docs:
+        """Stands for a DataFrame: runs the worker's function over one batch."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.made = list(run(iter([batch, batch[:0]])))
+            return self
+
+    texts = [None if i % 50 == 3 else ("licence " if i % 3 else "none ") + "x" * (200_000 if i == 77 else 10_000) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(600))), pa.array(texts)], names=["doc_id", "text"])
+    rules = [Rule("any", "REGEX", ("x",), bindings=(Binding("CFG", True, "any", ("licen[sc]e",)),))]
+    made = match.scan_documents(Docs(), rules, 30.0).made
+    got = [tuple(r.values()) for m in made for r in m.to_pylist()]
+    assert got == [(str(i), "any", 0, "document", True) if t and i % 3 and i != 77 else (str(i), None, None, None, i != 77) for i, t in enumerate(texts)]
+    assert len(made) > 4 and max(m.num_rows for m in made) < 150  # a run of 1 MB, not the batch
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=40), st.integers(0, 60))
 def test_byte_prefix_is_the_longest(text, most):
